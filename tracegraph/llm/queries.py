@@ -11,6 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import pii
+
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import media
+
+    return media.text_media(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegraph.llm import bpe
 
@@ -24,8 +48,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nra_topk": op1_nra_topk,
+    "op4_mixing": op4_mixing,
+    "op5_pii_anchors": op5_pii_anchors,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_nra_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}

@@ -17,6 +17,12 @@ def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import simhash
+
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegraph.llm import mixing
 
@@ -49,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nra_topk": op1_nra_topk,
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_pii_anchors": op5_pii_anchors,
     "op8_mpeg_audio": op8_mpeg_audio,

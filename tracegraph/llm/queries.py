@@ -35,6 +35,12 @@ def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import warc
+
+    return warc.digests(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegraph.llm import media
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_pii_anchors": op5_pii_anchors,
+    "op7_warc_zip": op7_warc_zip,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_token_counts": op10_token_counts,
@@ -73,4 +80,17 @@ ORACLES: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_warc_zip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM h),
+        d AS (
+            SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c:
+                substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', c) - 3, 4)), '') AS bits FROM f)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_reduce(list_transform(string_split(substr(bits, CAST(5 * i + 1 AS BIGINT), 5), ''), lambda c: CAST(c AS INTEGER)), lambda a, c: a * 2 + c) AS INTEGER), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM d""",
 }

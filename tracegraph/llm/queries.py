@@ -35,6 +35,12 @@ def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import toxicity
+
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegraph.llm import warc
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_pii_anchors": op5_pii_anchors,
+    "op6_toxicity": op6_toxicity,
     "op7_warc_zip": op7_warc_zip,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_bpe_trie": op9_bpe_trie,

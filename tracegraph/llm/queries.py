@@ -23,6 +23,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracegraph.llm import suffix
+
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50, keep=False)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracegraph.llm import mixing
 
@@ -68,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nra_topk": op1_nra_topk,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_pii_anchors": op5_pii_anchors,
     "op6_toxicity": op6_toxicity,

@@ -256,41 +256,48 @@ def shard_strings(text: np.ndarray, starts: np.ndarray, runs: np.ndarray, docs:
 
 
 def answers(rows: list[dict], length: int) -> list[np.ndarray]:
-    """For each row of runs, a number per run: its bit j is set if string j also starts in a smaller document of the group."""
+    """For each row of runs, a number per run: its bit j is set if string j also starts in a smaller document of the group.
+
+    Equal contents are compared as one, under their smallest document: all
+    strings of the others start in that one, too.
+    """
+    known: dict[bytes, int] = {}
+    number = [known.setdefault(c, len(known)) for r in rows for c in r["body"].split(END)[:-1]]
+    docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
+    number = np.array(number, np.int64)
+    own = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(own, number, docs)
+    contents = list(known)
+
     shards: list[list[int]] = []
     size = SHARD_BYTES
-    for i, r in enumerate(rows):
-        if size + len(r["body"]) > SHARD_BYTES:
+    for i, c in enumerate(contents):
+        if size + len(c) > SHARD_BYTES:
             shards.append([])
             size = 0
         shards[-1].append(i)
-        size += len(r["body"])
+        size += len(c) + 1
     done = []
     for members in shards:
-        runs = np.concatenate([np.frombuffer(rows[i]["runs"], np.uint8) for i in members]).astype(np.int64)
-        docs = np.concatenate([np.frombuffer(rows[i]["docs"], np.int64) for i in members])
-        text = np.frombuffer(b"".join(rows[i]["body"] for i in members), np.uint8)
-        width = runs + length  # a terminator follows each run's bytes
-        starts = np.cumsum(width) - width
-        done.append((members, runs, docs, *shard_strings(text, starts, runs, docs, length)))
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(rows)
-    lows = [d[4].copy() for d in done]
+        text = np.frombuffer(END.join([contents[i] for i in members]) + END, np.uint8)
+        runs = np.array([len(contents[i]) for i in members], np.int64) - length + 1
+        width = runs + length  # a terminator follows each content
+        done.append((members, runs, *shard_strings(text, np.cumsum(width) - width, runs, own[members], length)))
+    lows = [d[3].copy() for d in done]
     for a, d in enumerate(done):
         for b, e in enumerate(done):
             if a != b:  # merging: each distinct string is looked up among those of the other shard
-                found = np.minimum(np.searchsorted(e[3], d[3]), len(e[3]) - 1)
-                lows[a] = np.where(e[3][found] == d[3], np.minimum(lows[a], e[4][found]), lows[a])
-    for (members, runs, docs, _, _, of), low in zip(done, lows):
-        hit = low[of] < np.repeat(docs, runs)
+                found = np.minimum(np.searchsorted(e[2], d[2]), len(e[2]) - 1)
+                lows[a] = np.where(e[2][found] == d[2], np.minimum(lows[a], e[3][found]), lows[a])
+    mask = np.zeros(len(contents), np.uint64)
+    for (members, runs, _, _, of), low in zip(done, lows):
         first = np.cumsum(runs) - runs
-        bit = np.arange(len(of)) - np.repeat(first, runs)
-        mask = np.add.reduceat(np.where(hit, np.uint64(1) << bit.astype(np.uint64), np.uint64(0)), first)
-        at = 0
-        for i in members:
-            n = len(rows[i]["runs"])
-            out[i] = mask[at : at + n]
-            at += n
-    return out
+        bit = (np.arange(len(of)) - np.repeat(first, runs)).astype(np.uint64)
+        hit = low[of] < np.repeat(own[members], runs)
+        mask[members] = np.add.reduceat(np.where(hit, np.uint64(1) << bit, np.uint64(0)), first)
+    every = np.where(docs > own[number], np.uint64(2**64 - 1), mask[number])
+    ends = np.cumsum([len(r["runs"]) for r in rows])
+    return np.split(every, ends[:-1])
 
 
 def pack(length: int):
@@ -468,9 +475,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     copies = materialize(facts.join(materialize(first.select("sha", "first_id"), "first-texts"), "sha").where("doc_id > first_id").drop("first_id"), "copies")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     # Both counts follow the bytes, so buckets and groups keep their size.
-    buckets, groups = max(8, min(1 << 16, total // (24 << 20))), max(8, total // (12 << 20))
+    buckets, groups = max(8, min(1 << 16, total // (24 << 20))), max(8, total // (4 << 20))
 
-    own = docs.where("doc_id IS NOT NULL").join(copies.select(F.col("doc_id").alias("c"), F.lit(True).alias("is_copy")), F.col("doc_id") == F.col("c"), "left_anti")
+    # Always dealt by id, small as the copies may be: one way at every size.
+    own = docs.where("doc_id IS NOT NULL").hint("merge").join(copies.select(F.col("doc_id").alias("c"), F.lit(True).alias("is_copy")), F.col("doc_id") == F.col("c"), "left_anti")
     slices = materialize(own.mapInArrow(pack(length), SLICE_SCHEMA), "slices")
     hashes = slices.mapInArrow(hashes_out(buckets, length), "bucket int, slice long, data binary")
     shared = materialize(hashes.groupBy("bucket").applyInArrow(shared_keys, REPLY_SCHEMA), "shared-keys")

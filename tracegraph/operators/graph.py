@@ -49,7 +49,9 @@ def supersession_heads(links: DataFrame, most_links: int = 1 << 16) -> DataFrame
     still moves after ``most_links`` is a cycle.  Each node is in one chain, and
     a round is one join; rounds end when nothing moves.
     """
-    jump = links.select("id", F.col("by").alias("head"))
+    jump = checkpointed(links.select("id", F.col("by").alias("head")))
+    if jump.isEmpty():
+        return jump
     reached = 1
     while True:
         nxt = jump.select(F.col("id").alias("via"), F.col("head").alias("to"))

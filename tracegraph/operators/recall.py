@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegraph.functions.text import SEMANTIC_KINDS, centrality, display_kind, evidence_text, kind_weight, recency, tokens
 from tracegraph.operators.graph import superseded_by, supersession_heads
+from tracegraph.operators.lineage import checkpointed
 from tracegraph.operators.merge import degrees
 from tracegraph.operators.vectors import BUCKETS, top_k
 
@@ -109,7 +110,8 @@ def finalize(g: Graph, scored: DataFrame, k: int) -> DataFrame:
 def recall(g: Graph, query: str, k: int = 12, now_ms: int = 0) -> tuple[DataFrame, bool]:
     """The k best hits, and whether the answer is degraded (there were no vectors)."""
     degraded = g.vectors.isEmpty()
-    scored = None if degraded else hybrid(g, query, k, now_ms)
+    # Written once: whether there is any hit decides the stage, and the hits are read again.
+    scored = None if degraded else checkpointed(hybrid(g, query, k, now_ms))
     if scored is None or scored.isEmpty():
         terms = query_tokens(query)
         docs = g.nodes.select("id", F.concat_ws(" ", "label", "body").alias("text"))

@@ -8,8 +8,8 @@ Layout below a folder that all executors share (any file system of Spark)::
 
 A batch counts once its ``_DONE`` is written, after all its tables: a torn batch
 is never read.  A checkpoint writes a whole new snapshot, then moves ``_CURRENT``
-by a rename, then deletes what it folded; a crash between leaves the old
-state readable.  ``_CURRENT`` also says which embedder the vectors are from.
+by a rename, then deletes what the snapshot before it had folded; a crash
+between leaves the old state readable, and open readers keep theirs.  ``_CURRENT`` also says which embedder the vectors are from.
 """
 
 from __future__ import annotations
@@ -151,10 +151,13 @@ class Store:
         g.edges.write.parquet(f"{at}/edges")
         g.vectors.write.parquet(f"{at}/vectors")
         self.files.write(f"{self.path}/_CURRENT", json.dumps({"version": version, "folded": max([meta["folded"], *done]), "embedder": meta["embedder"]}))
-        for i in done:
-            self.files.delete(f"{self.path}/wal/batch={i}")
-        if meta["version"]:
-            self.files.delete(f"{self.path}/snap/v={meta['version']}")
+        # What this snapshot replaces stays until the next one, for readers that have it open.
+        for n in self.files.names(f"{self.path}/wal"):
+            if n.startswith("batch=") and int(n[6:]) <= meta["folded"]:
+                self.files.delete(f"{self.path}/wal/{n}")
+        for n in self.files.names(f"{self.path}/snap"):
+            if int(n[2:]) < meta["version"]:
+                self.files.delete(f"{self.path}/snap/{n}")
         return version
 
     def note(self, text: str, topic: str | None, now_ms: int) -> int:

@@ -74,7 +74,7 @@ def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     length or with a bad number are skipped; tokens are lower-cased and the last
     of repeated ones counts.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     parts = lines.select("pos", F.split(F.trim("line"), r"\s+").alias("p"))
     rows = parts.select("pos", F.lower(F.col("p")[0]).alias("token"), F.transform(F.slice("p", 2, 100_000), lambda x: x.try_cast("double")).alias("vec"))
     rows = rows.where((F.size("vec") >= 2) & ~F.exists("vec", lambda x: x.isNull()))

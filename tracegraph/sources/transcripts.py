@@ -138,7 +138,7 @@ def resolve(connector: Connector, path: str | None = None) -> list[str]:
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``path, pos, line`` of text files; a session is one file, and its lines one task's."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
     whole = files.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracegraph.functions.text import SEMANTIC_KINDS, centrality, display_kind, evidence_text, kind_weight, recency, tokens
+from tracegraph.functions.text import SEMANTIC_KINDS, centrality, display_kind, evidence_text, kind_weight, let, recency, tokens
 from tracegraph.operators.graph import superseded_by, supersession_heads
 from tracegraph.operators.lineage import checkpointed
 from tracegraph.operators.merge import degrees
@@ -59,8 +59,8 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     terms; the corpus statistics are one row.
     """
     terms = sorted(set(terms))
-    t = tokens(F.col("text"))
-    counted = docs.select("id", F.size(t).alias("len"), *[F.size(F.filter(t, _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    each = let(tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("len"), *[F.size(F.filter(t, _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)]))
+    counted = docs.select("id", each.alias("c")).select("id", "c.*")
     stats = counted.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -107,4 +107,19 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM d""",
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        c AS (SELECT doc_id, n, 500 * k AS base, substr(h, 1000 * k + 1, 1098) AS c FROM (SELECT doc_id, h, n, unnest(range(0, (n - 50) // 500 + 1)) AS k FROM d WHERE n >= 50)),
+        w AS (SELECT doc_id, base + q AS p, substr(c, 2 * q + 1, 100) AS s FROM (SELECT doc_id, base, c, unnest(range(0, least(500, n - 49 - base))) AS q FROM c)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+        hit AS (SELECT w.doc_id, w.p FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id),
+        mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+        run AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+        span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM span),
+        cut AS (
+            SELECT g.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM gap g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id""",
 }

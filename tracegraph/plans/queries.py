@@ -497,8 +497,12 @@ def pep621_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole flows
 
 
-def conversation_mutations(spark: SparkSession, sf_dir: str):
+def conversation_mutations(spark: SparkSession, sf_dir: str, decide: bool = False):
+    """The conversations as sessions; with ``decide`` every assistant turn states a decision."""
     c = table(spark, sf_dir, "conversations")
+    if decide:
+        stated = F.concat("text", F.lit(". Let's use tool"), F.col("conv_id").cast("string"), F.lit(" for the work demo."))
+        c = c.withColumn("text", F.when(F.col("role") == "assistant", stated).otherwise(F.col("text")))
     path = F.col("conv_id").cast("string").alias("path")
     none = F.lit(None).cast("string")
     start = (F.col("conv_id") * 3_600_000 + 1_700_000_000_000).alias("started_at_ms")
@@ -508,8 +512,8 @@ def conversation_mutations(spark: SparkSession, sf_dir: str):
     return session_mutations(s, t, NOW)
 
 
-def conversation_graph(spark: SparkSession, sf_dir: str) -> R.Graph:
-    m = conversation_mutations(spark, sf_dir)
+def conversation_graph(spark: SparkSession, sf_dir: str, decide: bool = False) -> R.Graph:
+    m = conversation_mutations(spark, sf_dir, decide)
     # Cut, as a store's snapshot would be: recall reads these tables many times.
     nodes = checkpointed(M.merge_nodes(m.nodes))
     return R.Graph(nodes, checkpointed(M.with_endpoints(M.merge_edges(m.edges), nodes)), checkpointed(M.merge_vectors(m.vectors)))
@@ -569,7 +573,7 @@ def recall_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recall_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recall_decisions(conversation_graph(spark, sf_dir), QUESTION, NOW)
+    return R.recall_decisions(conversation_graph(spark, sf_dir, decide=True), QUESTION, NOW)
 
 
 @query()

@@ -16,6 +16,7 @@ from tracegraph.functions.manifests import dependencies
 from tracegraph.functions.redact import redact
 from tracegraph.functions.symbols import symbols
 from tracegraph.functions.text import UNIT, basename, content_hash, file_identity, is_low_value, node_id, relative_path, summarize
+from tracegraph.operators.lineage import checkpointed
 from tracegraph.operators.merge import EDGE, NODE, PROVENANCE, VECTOR
 from tracegraph.operators.temporal import as_of, supersessions
 from tracegraph.operators.vectors import hash_embedding
@@ -82,9 +83,10 @@ def session_mutations(sessions: DataFrame, turns: DataFrame, now_ms: int, batch:
         F.coalesce("started_at_ms", F.lit(now_ms)).alias("started"), F.concat("agent", F.lit(":"), "native_session_id").alias("session"),
     )
     t = turns.select("path", "idx", F.col("kind").alias("turn_kind"), "text", "ts_ms", "touched_files").join(s, "path")
-    chat = t.where(F.col("turn_kind").isin("user", "assistant") & ~is_low_value(F.col("text")))
+    # Turns and decisions feed several tables each: they are computed once, and later plans stay small.
+    chat = checkpointed(t.where(F.col("turn_kind").isin("user", "assistant") & ~is_low_value(F.col("text"))))
     intro = chat.where("turn_kind = 'user'").groupBy("path").agg(F.min(F.struct("idx", F.substring("text", 1, 200).alias("intro")))["intro"].alias("intro"))
-    s = s.join(intro, "path", "left").withColumn("intro", F.coalesce("intro", F.lit("")))
+    s = checkpointed(s.join(intro, "path", "left").withColumn("intro", F.coalesce("intro", F.lit(""))))
 
     def provenance(confidence: Column, extractor: Column, span: Column) -> Column:
         return F.struct(
@@ -117,7 +119,7 @@ def session_mutations(sessions: DataFrame, turns: DataFrame, now_ms: int, batch:
         found = c.join(t, ["path", "idx"])
     # Distilled texts are not covered by the redaction of turns; for extracted ones this changes nothing.
     found = found.withColumn("decision", redact(F.col("decision"))).withColumn("rationale", redact(F.col("rationale"))).withColumn("rejected", F.transform("rejected", redact))
-    found = found.withColumn("scope", F.coalesce("repo", "session"))
+    found = checkpointed(found.withColumn("scope", F.coalesce("repo", "session")))
     stated = F.concat("scope", F.lit("::"), F.lower("decision"))
     attrs = F.map_filter(F.create_map(F.lit("scope"), F.col("scope"), F.lit("rejected"), F.when(F.size("rejected") > 0, F.array_join("rejected", "; "))), lambda k, v: v.isNotNull())
     body = F.when(F.col("rationale") == "", F.col("decision")).otherwise(F.concat("decision", F.lit("\n\nRationale: "), "rationale"))

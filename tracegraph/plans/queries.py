@@ -12,9 +12,12 @@ from tracegraph.functions.manifests import dependencies
 from tracegraph.functions.redact import contains_secret, redact
 from tracegraph.functions.symbols import symbols
 from tracegraph.operators import graph as G, merge as M, recall as R, temporal as T, vectors as V
-from tracegraph.operators.lineage import checkpointed
-from tracegraph.plans.ingest import session_mutations
+from tracegraph.operators.lineage import checkpointed, shared_folder
+from tracegraph.plans.api import bulk
+from tracegraph.plans.ingest import repository_mutations, session_mutations
+from tracegraph.plans.store import Store
 from tracegraph.sources.transcripts import CONNECTORS, parse_lines, sessions_of
+from tracegraph.streaming.ingest import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +268,12 @@ def bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Merges
 
 
+@query("WITH " + EDGES_SQL + """
+    SELECT 'n3' AS id UNION SELECT "to" FROM e WHERE "from" = 'n3' UNION SELECT "from" FROM e WHERE "to" = 'n3'""")
+def neighbors_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbors(_star_nodes(spark, sf_dir), _star_edges(spark, sf_dir), "n3")[0].select("id")
+
+
 def _upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prov = F.struct(
         F.lit("t").alias("source_tool"), F.lit(None).cast("string").alias("native_session_id"), F.lit(None).cast("string").alias("native_path"), F.lit(None).cast("string").alias("connector_version"), F.lit(None).cast("string").alias("commit"),
@@ -374,6 +383,12 @@ def pool_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.join(v.where("label % 2 = 0").select("id", "label"), "id").select("id", "label", F.round("score", 6).alias("score"))
 
 
+@query("SELECT vec_id AS id, round(list_sum(embedding::double[]) / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) AS total FROM embeddings")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir).select("id", X.l2_normalize(F.col("vec")).alias("vec"))
+    return v.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 BM25_SQL = """
     t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) > 1) AS t FROM documents),
     n AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS avgdl FROM t),
@@ -438,6 +453,32 @@ def timeline_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.timeline(_event_nodes(spark, sf_dir), 20, newest_first=True, most=200).select("id", "first_seen_ms")
 
 
+@query("SELECT event_id AS id, event_type AS kind FROM events WHERE event_type IN ('click', 'error') ORDER BY epoch_ms(date_trunc('millisecond', ts)) DESC, event_id LIMIT 100")
+def newest_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.newest(_event_nodes(spark, sf_dir), 100, " Click,ERROR".split(",")).select("id", "kind")
+
+
+@query("SELECT event_type, epoch_ms(date_trunc('hour', ts)) AS start_ms, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def activity_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return activity(e, "ts", "1 hour", "2 hours", "event_type").select("event_type", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("""
+    WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE '' END AS s, CASE WHEN doc_id % 3 = 1 THEN '' ELSE coalesce(text, '') END AS body FROM documents),
+    t AS (SELECT *, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS t FROM d),
+    z AS (SELECT *, coalesce(nullif(regexp_extract(substr(t, 1, 180), '^[^.!?]*[.!?]'), ''), CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '…' ELSE t END) AS short FROM t)
+    SELECT id, coalesce(nullif(s, ''), nullif(short, ''), 'doc ' || id) AS summary, coalesce(nullif(s, ''), nullif(CASE WHEN length(body) > 240 THEN substr(body, 1, 240) || '…' ELSE body END, ''), 'doc ' || id) AS evidence FROM z""")
+def node_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id, at = F.col("doc_id").cast("string"), F.lit(NOW)
+    d = table(spark, sf_dir, "documents").select(
+        id.alias("id"), F.lit("turn").alias("kind"), F.concat(F.lit("doc "), id).alias("label"), F.when(F.col("doc_id") % 3 == 0, "kept").otherwise("").alias("summary"),
+        F.when(F.col("doc_id") % 3 == 1, "").otherwise(F.coalesce("text", F.lit(""))).alias("body"), at.alias("first_seen_ms"), at.alias("last_updated_ms"), F.create_map().alias("attrs"), F.lit(None).alias("provenance"),
+    )
+    shown = bulk(d).select("id", "summary")
+    return shown.join(d.select("id", X.evidence_text(F.col("summary"), F.col("body"), F.col("label")).alias("evidence")), "id")
+
+
 # Sources, over lines made from the conversations
 
 
@@ -494,6 +535,49 @@ def pep621_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies(files)
 
 
+@query("SELECT 'd/' || s_suppkey || '/Cargo.toml' AS path, unnest(['serde', 'lib-' || s_suppkey, 'test-' || s_suppkey, 'own' || s_suppkey]) AS name FROM supplier")
+def cargo_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = '[package]\nname = "x"\n[dependencies]\nserde = "1"\nlib-%1$d = { version = "2" }\n# no = "1"\n[dev-dependencies]\ntest-%1$d="1"\n[dependencies.own%1$d]\nversion = "1"\n[profile.release]\nlto = true\n'
+    return _manifests(spark, sf_dir, "Cargo.toml", text)
+
+
+@query("SELECT 'd/' || s_suppkey || '/go.mod' AS path, unnest(['example.org/one', 'example.org/k' || s_suppkey, 'example.org/x/text']) AS name FROM supplier")
+def go_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "module x\n\ngo 1.22\n\nrequire example.org/one v1.0.0\n\nrequire (\n\texample.org/k%1$d v1.2.3 // indirect\n\t// note\n\texample.org/x/text v0.3.0\n)\n\nreplace a => b\n"
+    return _manifests(spark, sf_dir, "go.mod", text)
+
+
+@query("SELECT 'd/' || s_suppkey || '/package.json' AS path, unnest(['react', 'pkg-' || s_suppkey, '@types/n' || s_suppkey]) AS name FROM supplier")
+def npm_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = "l" * 64  # a name of over 63 bytes is no name
+    text = '{"name": "x", "dependencies": {"react": "^18", "pkg-%1$d": "1", "' + long + '": "1"}, "devDependencies": {"@types/n%1$d": "2"}, "scripts": {"build": "x"}}'
+    return _manifests(spark, sf_dir, "package.json", text)
+
+
+def _manifests(spark: SparkSession, sf_dir: str, name: str, text: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("int")
+    files = table(spark, sf_dir, "supplier").select(F.format_string("d/%d/" + name, key).alias("path"), F.format_string(text, key).alias("content"))
+    return dependencies(files)
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT p_partkey, unnest([{'kind': 'fn', 'name': 'go_' || k}, {'kind': 'struct', 'name': 'S' || k}, {'kind': 'enum', 'name': 'E'}, {'kind': 'trait', 'name': 'T' || k}], recursive := true) FROM p WHERE p_partkey % 4 = 0
+    UNION ALL SELECT p_partkey, unnest([{'kind': 'function', 'name': 'f' || k}, {'kind': 'class', 'name': 'C' || k}, {'kind': 'const', 'name': 'x' || k}], recursive := true) FROM p WHERE p_partkey % 4 = 1
+    UNION ALL SELECT p_partkey, unnest([{'kind': 'func', 'name': 'M' || k}, {'kind': 'func', 'name': 'main'}, {'kind': 'type', 'name': 'T' || k}], recursive := true) FROM p WHERE p_partkey % 4 = 2""")
+def symbols_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = {
+        "rs": "pub async fn go_%1$d() {}\npub(crate) struct S%1$d;\nenum E { A }\npub trait T%1$d {}\nunsafe fn no() {}\n",
+        "ts": "export function f%1$d() {}\nclass C%1$d {}\nexport const x%1$d = 1;\nlet y = 2;\n",
+        "go": "func (r *R) M%1$d() {}\nfunc main() {}\ntype T%1$d struct {}\n",
+        "txt": "fn none() {}\n",
+    }
+    key = F.col("p_partkey").cast("int")
+    which = lambda made: F.element_at(F.array(*made), (key % 4 + 1).cast("int"))
+    s = table(spark, sf_dir, "part").withColumn("path", which([F.lit(f"a/b.{ext}") for ext in code])).withColumn("code", which([F.format_string(c, key) for c in code.values()]))
+    return s.select("p_partkey", F.explode(symbols(F.col("path"), F.col("code"))).alias("s")).select("p_partkey", "s.kind", "s.name")
+
+
 # Whole flows
 
 
@@ -537,7 +621,51 @@ def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUESTION = "the and with work demo"
-RECALL_SQL = "WITH " + CHAT_SQL + """,
+@query("WITH " + CHAT_SQL + """
+    SELECT 'nodes' AS part, CAST(1 + (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM chat) + (SELECT count(DISTINCT turn % 7) FROM chat WHERE turn % 3 = 1) AS BIGINT) AS n
+    UNION ALL SELECT 'edges', (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM chat) + (SELECT count(*) FROM chat WHERE turn % 3 = 1)
+    UNION ALL SELECT 'vectors', (SELECT count(DISTINCT conv_id) FROM chat WHERE role = 'user') + (SELECT count(*) FROM chat)""")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, a snapshot, and the same batch again on top of it: recovered, everything is there once."""
+    m = conversation_mutations(spark, sf_dir)
+    store = Store(spark, shared_folder(spark, "store"))
+    store.append(m, store.next_batch())
+    store.checkpoint()
+    store.append(m, store.next_batch())
+    g = Store(spark, store.path).graph()
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in (("nodes", g.nodes), ("edges", g.edges), ("vectors", g.vectors))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""
+    WITH f AS (SELECT 's' || s_suppkey || '/m.py' AS rel FROM supplier UNION ALL SELECT 's' || s_suppkey || '/pyproject.toml' FROM supplier WHERE s_suppkey % 5 = 0),
+    h AS (SELECT DISTINCT c_custkey, rel FROM (SELECT c_custkey, unnest(['s' || c_nationkey || '/m.py', 's' || c_nationkey || '/pyproject.toml', 'gone.py']) AS rel FROM customer) JOIN f USING (rel)),
+    k AS (SELECT rel FROM f WHERE rel LIKE '%.py' UNION SELECT rel FROM h)
+    SELECT 'node' AS part, 'repo' AS kind, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'node', 'framework', 1 + count(*) FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'node', 'file', count(*) FROM k
+    UNION ALL SELECT 'node', 'symbol', count(*) FROM supplier UNION ALL SELECT 'node', 'commit', count(*) FROM customer
+    UNION ALL SELECT 'edge', 'depends_on', 1 + count(*) FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'edge', 'contains', (SELECT count(*) FROM supplier) + count(*) FROM customer
+    UNION ALL SELECT 'edge', 'defines', count(*) FROM supplier UNION ALL SELECT 'edge', 'changed_by', count(*) FROM h
+    UNION ALL SELECT 'vector', 'all', 2 * count(*) FROM supplier""")
+def repository_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of a source file per supplier, some manifests, and a commit per customer."""
+    key = F.col("s_suppkey").cast("int")
+    s = table(spark, sf_dir, "supplier")
+    code = s.select(F.format_string("s%d/m.py", key).alias("path"), F.format_string("def run_%d():\n    pass\n", key).alias("content"))
+    code = code.union(s.where("s_suppkey % 5 = 0").select(F.format_string("s%d/pyproject.toml", key), F.format_string('[project]\ndependencies = ["numpy", "pkg-%d"]\n', key)))
+    oid, nation = F.sha1(F.col("c_custkey").cast("string").cast("binary")), F.col("c_nationkey").cast("int")
+    history = table(spark, sf_dir, "customer").select(
+        oid.alias("oid"), F.substring(oid, 1, 8).alias("short"), F.col("c_name").alias("summary"), F.lit("someone").alias("author"), (F.col("c_custkey") * 60_000 + 1_700_000_000_000).alias("time_ms"),
+        F.array(F.format_string("s%d/m.py", nation), F.format_string("s%d/pyproject.toml", nation), F.lit("gone.py")).alias("changed"),
+    )
+    m = repository_mutations(code.withColumn("n_bytes", F.octet_length("content").cast("bigint")), "/work/demo", NOW, history)
+    nodes = M.merge_nodes(m.nodes)
+    edges = M.with_endpoints(M.merge_edges(m.edges), nodes)
+    parts = [("node", nodes), ("edge", edges), ("vector", M.merge_vectors(m.vectors).withColumn("kind", F.lit("all")))]
+    counts = [df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "kind", "n") for name, df in parts]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+NODES_SQL = "WITH " + CHAT_SQL + """,
     n AS (
         SELECT 's' || conv_id AS k, 'session' AS kind, 'session ' || conv_id AS label, coalesce((SELECT substr(arg_min(c.text, c.turn), 1, 200) FROM chat c WHERE c.conv_id = x.conv_id AND c.role = 'user'), '') AS emb, 1700000000000 + conv_id * 3600000 AS ts,
             substr(sha256('session' || chr(0) || 'claude_code:' || conv_id), 1, 32) AS id FROM (SELECT DISTINCT conv_id FROM conversations) x
@@ -545,26 +673,33 @@ RECALL_SQL = "WITH " + CHAT_SQL + """,
         UNION ALL SELECT 'r', 'repo', 'demo', NULL, 1710000000000, substr(sha256('repo' || chr(0) || '/work/demo'), 1, 32)
         UNION ALL SELECT DISTINCT 'f' || turn % 7, 'file', 'f' || turn % 7, NULL, 1710000000000, substr(sha256('file' || chr(0) || '/work/demo' || chr(1) || 'src/f' || turn % 7), 1, 32) FROM chat WHERE turn % 3 = 1),
     e AS (SELECT 's' || conv_id AS a, 'r' AS b FROM (SELECT DISTINCT conv_id FROM conversations) UNION SELECT 's' || conv_id, 't' || conv_id || '-' || turn FROM chat UNION SELECT 't' || conv_id || '-' || turn, 'f' || turn % 7 FROM chat WHERE turn % 3 = 1),
-    w AS (SELECT *, power(0.5, greatest(1710000000000 - ts, 0) / 86400000.0 / 30) AS rec, CASE kind WHEN 'turn' THEN 0.85 WHEN 'session' THEN 0.65 WHEN 'repo' THEN 0.5 ELSE 0.4 END AS wt FROM n),
+    w AS (SELECT *, power(0.5, greatest(1710000000000 - ts, 0) / 86400000.0 / 30) AS rec, CASE kind WHEN 'turn' THEN 0.85 WHEN 'session' THEN 0.65 WHEN 'repo' THEN 0.5 ELSE 0.4 END AS wt FROM n)"""
+BEST_SQL = NODES_SQL + """,
     tok AS (SELECT k, unnest(list_filter(regexp_split_to_array(lower(emb), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) > 1)) AS t FROM n WHERE trim(emb) <> '' UNION ALL SELECT 'q', unnest(['the', 'and', 'with', 'work', 'demo'])),
     bag AS (SELECT k, CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(sum(CASE WHEN CAST('0x' || substr(sha256(t), 9, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM tok GROUP BY 1, 2),
     unit AS (SELECT k, b, CASE WHEN sum(x * x) OVER (PARTITION BY k) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY k)) ELSE 0 END AS x FROM bag),
-    pool AS (SELECT w.k, sum(u.x * q.x) AS cos FROM w JOIN unit u ON w.k = u.k JOIN (SELECT b, x FROM unit WHERE k = 'q') q ON u.b = q.b GROUP BY w.k, w.id ORDER BY cos DESC, w.id LIMIT 480),
+    pool AS (SELECT w.k, sum(u.x * q.x) AS cos FROM w JOIN unit u ON w.k = u.k JOIN (SELECT b, x FROM unit WHERE k = 'q') q ON u.b = q.b GROUP BY w.k, w.id ORDER BY cos DESC, w.id LIMIT {pool}),
     sem AS (SELECT w.k, w.id, (0.7 * cos + 0.15 * rec) * wt AS s FROM pool JOIN w USING (k) WHERE cos > 0.01 AND kind IN ('turn', 'session')),
     seed AS (SELECT k, s FROM sem ORDER BY s DESC, id LIMIT 3),
     near AS (SELECT DISTINCT y.k AS seed, y.s, x.nb FROM seed y JOIN (SELECT a AS k, b AS nb FROM e UNION SELECT b, a FROM e) x ON x.k = y.k WHERE x.nb <> y.k),
     c AS (SELECT k, s, 0 AS stage FROM sem UNION ALL SELECT w.k, (0.35 * near.s + 0.15 * rec) * wt, 1 FROM near JOIN w ON w.k = near.nb
         UNION ALL SELECT k, (0.6 + 0.1 * rec) * wt, 2 FROM w WHERE kind NOT IN ('turn', 'session') AND (contains(lower(label), 'the') OR contains(lower(label), 'and') OR contains(lower(label), 'with') OR contains(lower(label), 'work') OR contains(lower(label), 'demo'))),
-    best AS (SELECT k, max(s) AS s, ['semantic', 'graph', 'lexical'][1 + arg_max(stage, (s, -stage))] AS why FROM c GROUP BY k)
-    SELECT w.id, round(best.s, 6) AS score, upper(substr(kind, 1, 1)) || substr(kind, 2) AS kind, label, why FROM best JOIN w USING (k) ORDER BY best.s DESC, w.id LIMIT 12"""
+    best AS (SELECT k, max(s) AS s, ['semantic', 'graph', 'lexical'][1 + arg_max(stage, (s, -stage))] AS why FROM c GROUP BY k)"""
 
 
-@query(RECALL_SQL)
+@query(BEST_SQL.replace("{pool}", "480") + """
+    SELECT w.id, round(best.s, 6) AS score, upper(substr(kind, 1, 1)) || substr(kind, 2) AS kind, label, why FROM best JOIN w USING (k) ORDER BY best.s DESC, w.id LIMIT 12""")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(conversation_graph(spark, sf_dir), QUESTION, 12, NOW).select("id", F.round("score", 6).alias("score"), "kind", "label", "why")
 
 
-@query()
+@query(NODES_SQL + """,
+    d AS (SELECT w.*, list_filter(regexp_split_to_array(lower(label || ' ' || coalesce(emb, '')), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) > 1) AS t FROM w),
+    m AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS avgdl FROM d),
+    f AS (SELECT id, kind, wt, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest(['the', 'and', 'with', 'work', 'demo']) AS term)),
+    g AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM f GROUP BY term),
+    b AS (SELECT id, kind, wt * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS s FROM f JOIN g USING (term), m GROUP BY id, kind, wt HAVING sum(tf) > 0)
+    SELECT id, round(s, 6) AS score, upper(substr(kind, 1, 1)) || substr(kind, 2) AS kind, 'lexical' AS why FROM b ORDER BY s DESC, id LIMIT 8""")
 def recall_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = conversation_graph(spark, sf_dir)
     g.vectors = g.vectors.limit(0)
@@ -576,6 +711,9 @@ def recall_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recall_decisions(conversation_graph(spark, sf_dir, decide=True), QUESTION, NOW)
 
 
-@query()
+@query(BEST_SQL.replace("{pool}", "256") + """,
+    hit AS (SELECT best.k FROM best JOIN w USING (k) ORDER BY best.s DESC, w.id LIMIT 1),
+    around AS (SELECT k FROM hit UNION SELECT b FROM e WHERE a IN (SELECT k FROM hit) UNION SELECT a FROM e WHERE b IN (SELECT k FROM hit))
+    SELECT id, kind, label FROM n WHERE k IN (SELECT k FROM around)""")
 def related_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.related(conversation_graph(spark, sf_dir), QUESTION, NOW)[0].select("id", "kind", "label")

@@ -237,6 +237,15 @@ def test_repeats_are_removed(docs, none, length):
     assert suffix.remove_repeats(none, keep=False).count() == 0
 
 
+@pytest.mark.parametrize("keep", [True, False])
+def test_rows_with_one_id_differ_in_text(spark, keep):
+    a, b, c = ("".join(random.Random(i).choice("abcdefgh ") for _ in range(150)) for i in range(3))
+    rows = [(1, a), (2, a), (2, a), (2, b + a[:70]), (2, "short"), (1, "short"), (3, b), (3, c), (3, c), (4, c[20:] + b), (4, None), (5, "")]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+    assert Counter(tuple(r)[:5] for r in got) == without_repeats(rows, 50)
+    assert not keep or all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
 def test_shards_merge(monkeypatch):
     monkeypatch.setattr(suffix, "SHARD_BYTES", 200)
     rnd = random.Random(2)

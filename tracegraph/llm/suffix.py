@@ -478,7 +478,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     buckets, groups = max(8, min(1 << 16, total // (24 << 20))), max(8, total // (4 << 20))
 
     # Always dealt by id, small as the copies may be: one way at every size.
-    own = docs.where("doc_id IS NOT NULL").hint("merge").join(copies.select(F.col("doc_id").alias("c"), F.lit(True).alias("is_copy")), F.col("doc_id") == F.col("c"), "left_anti")
+    # The hash is part of the key: of rows with one doc_id, some may be copies and others not.
+    known = copies.select(F.col("doc_id").alias("c"), F.col("sha").alias("c_sha"))
+    dealt = docs.where("doc_id IS NOT NULL").withColumn("sha", F.sha2(raw, 256)).hint("merge")
+    own = dealt.join(known, (F.col("doc_id") == F.col("c")) & (F.col("sha") == F.col("c_sha")), "left_anti").select("doc_id", "text")
     slices = materialize(own.mapInArrow(pack(length), SLICE_SCHEMA), "slices")
     hashes = slices.mapInArrow(hashes_out(buckets, length), "bucket int, slice long, data binary")
     shared = materialize(hashes.groupBy("bucket").applyInArrow(shared_keys, REPLY_SCHEMA), "shared-keys")
@@ -493,6 +496,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     lone = facts.where("doc_id IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     if not keep:
         return done.drop("kept").unionByName(gone).unionByName(lone)
-    short = docs.join(copies.where(~whole).select(F.col("doc_id").alias("c")).distinct(), F.col("doc_id") == F.col("c"), "left_semi").select("doc_id", raw.alias("kept")).dropDuplicates(["doc_id"])
-    gone = gone.join(short, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(b"")))
+    short = docs.where(F.octet_length("text") < length).select("doc_id", F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept")).distinct()
+    gone = gone.join(short, ["doc_id", "kept_sha256"], "left").withColumn("kept", F.coalesce("kept", F.lit(b""))).select(*done.columns)
     return done.unionByName(gone).unionByName(lone.join(docs.where("doc_id IS NULL").select(F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept")).distinct(), "kept_sha256").select(*done.columns))

@@ -9,7 +9,8 @@ stored bytes through ``scan``.
 
 Cases: an empty payload is stored as one unit of padding; a stream without a
 frame scans to zero frames and no duration; damaged frames are counted and the
-walk resumes at the next agreeing header; equal payloads give equal streams.
+walk resumes at the next agreeing header; equal payloads give equal streams; what
+looks like an ID3v1 tag within frames that end with the stream is audio.
 """
 
 from __future__ import annotations
@@ -143,6 +144,13 @@ def rate_table(raw: bytes, at: int, h: Header) -> dict | None:
     return None
 
 
+def frames_to_end(raw: bytes, at: int) -> bool:
+    """Whether whole frames from ``at`` on end exactly where the stream ends."""
+    while at < len(raw) and (h := header(raw[at : at + 4])):
+        at += h.size
+    return at == len(raw)
+
+
 def scan(raw: bytes) -> Scan:
     out = Scan()
     at, end, out.tags = tags_of(raw)
@@ -150,6 +158,9 @@ def scan(raw: bytes) -> Scan:
     locked, first = False, True
     while at + 4 <= end:
         h = header(raw[at : at + 4])
+        if end < len(raw) and h is not None and at + h.size > end and (locked or first) and frames_to_end(raw, at):
+            end = len(raw)
+            out.tags.remove("ID3v1")
         if h is not None and at + h.size > end:
             h = None
         if h is not None and not locked and at + h.size + 4 <= end:

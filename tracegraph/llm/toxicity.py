@@ -38,7 +38,9 @@ BEGINNINGS = (4, 5, 6)
 
 #: Labelled rows, at most about, from which stems are mined and the classifier is fitted.
 SAMPLE = 8_000
-VOTERS, FEATURES = 64, 1_000
+FEATURES = 1_000
+#: Standard errors by which a voter's precision is above one half.
+ERRORS = 2.0
 PRIOR = 0.1
 
 
@@ -172,6 +174,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic")
 
 
+def folded(counts: dict[str, int]) -> list[str]:
+    """``counts`` without the stems that fire on the same rows as a beginning of theirs, in the same order.
+
+    A beginning fires wherever a longer stem does, so equal counts mean equal rows.
+    """
+
+    def beginnings(stem: str) -> list[str]:
+        word = stem.rstrip("~")
+        return [b for n in BEGINNINGS if len(word) > n and (b := word[:n] + "~") != stem]
+
+    return [s for s, n in counts.items() if all(counts.get(b) != n for b in beginnings(s))]
+
+
 def mine_stems(sample: DataFrame) -> tuple[list[str], list[str], float]:
     """Voter stems, feature stems, and the share of toxic rows."""
 
@@ -198,9 +213,12 @@ def mine_stems(sample: DataFrame) -> tuple[list[str], list[str], float]:
     p = toxic / rows
     z = (F.col("hits") - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
     stems = stems.where("stem <> '' AND n >= 4").withColumn("z", z)
-    precise = stems.where((F.col("hits") > F.col("n") * max(0.5, 3 * p)) & (F.col("z") > 3)).orderBy(F.desc("z"), "stem").limit(VOTERS)
+    # All that pass vote.  The lower end of Wilson's interval keeps out rare stems that are precise by chance.
+    q, n, e = F.col("hits") / F.col("n"), F.col("n"), ERRORS**2
+    least = (q + e / (2 * n) - ERRORS * F.sqrt(q * (1 - q) / n + e / (4 * n * n))) / (1 + e / n)
+    precise = stems.where((F.col("hits") > F.col("n") * max(0.5, 3 * p)) & (F.col("z") > 3) & (least > 0.5)).orderBy(F.desc("z"), "stem")
     telling = stems.orderBy(F.desc(F.abs("z")), "stem").limit(FEATURES)
-    return [r["stem"] for r in precise.collect()], [r["stem"] for r in telling.collect()], p
+    return folded({r["stem"]: r["n"] for r in precise.collect()}), [r["stem"] for r in telling.collect()], p
 
 
 def vote_counts(docs: DataFrame, voters: list[str]) -> tuple[float, np.ndarray, np.ndarray]:

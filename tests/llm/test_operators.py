@@ -306,7 +306,7 @@ def test_mix_takes_its_targets(docs, none):
 
 def test_tree_deals_every_draw_once(docs):
     sized = mixing.sizes(docs)
-    quota = mixing.quotas(mixing.targets(sized))
+    quota = mixing.quotas(mixing.targets(sized), 1, 5)
     want = {r["place"]: r["draws"] for r in quota.collect()}
     dealt = mixing.split_tree(quota, 3, 5).collect()
     assert Counter({p: 0 for p in want}) | Counter() == Counter()
@@ -317,8 +317,8 @@ def test_tree_deals_every_draw_once(docs):
         assert r["n"] >= 0
     assert all(per_source[p] == n for p, n in want.items())
     assert max(per_shard.values()) - min(per_shard.values()) <= 3
-    plan = mixing.block_plan(sized, levels=3).where("block IS NOT NULL").collect()
-    assert max(Counter((r["source"], r["pass"], r["block"]) for r in plan).values()) == 1
+    plan = mixing.drawn_blocks(quota, 3, 5).collect()
+    assert max(Counter((r["place"], r["pass"], r["block"]) for r in plan).values()) == 1
 
 
 def test_mixed_documents_keep_columns(docs):

@@ -5,22 +5,28 @@ DataFrame functions only.  Steps:
 1. Sizes in words, totals by source, and targets: all words shared by weight,
    no source above ``cap`` times its size, the excess reshared.
 2. Each source is an ordered run of words (documents in hashed order) cut into
-   ``BLOCKS`` blocks of equal length.  Its exact quota is a number of block
-   draws: whole passes over its blocks, then a part of one more pass.
+   blocks of near-equal length.  Its exact quota is a number of block draws:
+   whole passes over its blocks, then a part of one more pass, whose last block
+   is cut so that the words meet the target.
 3. A binary tree splits the quotas of all sources among ``2 ** levels`` output
    shards.  Each node sends half of its draws to the left; how many of each
    source go there is drawn from the multivariate hypergeometric distribution,
    item by item, with hashed uniform numbers, so reruns agree.
-4. In each source the permuted draws are dealt to the shards in disjoint ranges
-   of exactly those counts, and get a hashed place within the shard.
-
-A row per source is the largest unit handled in one task (its windows and the
-tree); documents are handled in hashed buckets of their source, so a hot source
-is spread.
-
-Cases: a null or empty text has size 0; a null source is a source, the last; a
-table without words takes nothing; documents without words take 0; rows with
-the same doc_id are separate rows; other columns are ignored.
+4. Each shard draws exactly the tree's count of blocks of each source: disjoint
+   ranges of the source's permuted passes.  Words and documents are taken only
+   through these draws, and lie in a hashed order within their shard.
+
+Sizes of what one task handles: all sources in a row each (the tree holds an
+entry for each in an array), the draws of the last pass of one source, and the
+documents of one block or one hashed bucket of a source.  A block has about a
+``BLOCKS``-th of all words and ``BLOCK_WORDS`` at most, a shard about
+``SHARD_WORDS``, so a hot source is many blocks and 100 TB are some millions of draws.
+
+Cases: a null or empty text has size 0, takes nothing and is in no shard; a null
+source is a source, the last; a table without words takes nothing and an empty
+one has no rows; rows with the same doc_id are separate rows, equal ones are
+interchangeable; a long text is many blocks' words; other columns are ignored by
+``mix`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,21 +35,29 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracegraph.llm._common import materialize
 
-BLOCKS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+#: Blocks of all sources together, about, unless they had more words than BLOCK_WORDS.
+BLOCKS = 4_096
+BLOCK_WORDS = 1 << 22
+#: Words of a shard, about, where 2 ** LEVELS shards would hold more.
+SHARD_WORDS = 1 << 28
+LEVELS = 4
 #: Documents of one source that a window sorts together, about.
 BUCKET_ROWS = 50_000
+#: Parts of a shard that are shuffled, sorted and written together.
+PIECES = 16
 
 
-def uniform(*parts: Column) -> Column:
-    """A hashed number in [0, 1)."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *keep: str) -> DataFrame:
+    """``doc_id, source, size``, a number ``row`` and a hash ``h`` of id and text, written once: later steps never touch the texts.
 
-
-def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, size``, written once: later steps never touch the texts."""
-    return materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
+    ``keep`` are columns of ``df`` to write along, under the names ``keep_0``, ``keep_1``, ...
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")]
+    made = [F.xxhash64(F.lit("mix"), F.col(id_col), text).alias("h"), F.monotonically_increasing_id().alias("row")]
+    return materialize(df.select(*own, *made, *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]), "mix-sizes")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
@@ -54,8 +68,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3)
     """
     every = W.partitionBy(F.lit(0))
     t = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = t.withColumn("place", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())))
-    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") - 1) % len(weights) + 1))
+    t = t.withColumn("place", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
     t = t.withColumn("room", F.col("source_size") * cap).withColumn("ratio", F.col("room") / F.col("weight"))
     before = every.orderBy("ratio", "place").rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("used", F.coalesce(F.sum("room").over(before), F.lit(0))).withColumn("spent", F.coalesce(F.sum("weight").over(before), F.lit(0)))
@@ -64,31 +78,45 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3)
     return t.select("source", "place", "source_size", F.least(F.col("room").cast("double"), F.coalesce("first_level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def quotas(goal: DataFrame) -> DataFrame:
-    """Block draws of each source: ``words`` to take in all, ``passes`` whole passes, and ``draws``."""
-    g = goal.withColumn("words", F.round("target").cast("long"))
-    g = g.withColumn("passes", F.expr("if(source_size = 0, 0L, words div source_size)"))
-    g = g.withColumn("rest", F.expr("words - passes * source_size"))
-    # Blocks differ by a word at most, so the drawn order decides only by that how many blocks the rest needs.
-    g = g.withColumn("part", F.expr(f"""
-        transform(array_sort(transform(sequence(0, {BLOCKS - 1}), j -> struct(xxhash64(source, 'part', j) AS h, j AS j,
-            ((j + 1L) * source_size) div {BLOCKS} - (j * source_size) div {BLOCKS} AS len))), x -> struct(x.j AS j, x.len AS len))"""))
-    g = g.withColumn("part", F.expr("""
-        aggregate(part, struct(rest AS rest, cast(array() AS array<struct<j:int,take:bigint>>) AS out),
-            (a, x) -> struct(a.rest - least(a.rest, x.len) AS rest, if(least(a.rest, x.len) > 0, array_append(a.out, struct(x.j AS j, least(a.rest, x.len) AS take)), a.out) AS out),
-            a -> a.out)"""))
-    return g.withColumn("draws", F.expr(f"cast(passes * {BLOCKS} + size(part) AS bigint)"))
+def block_first(j: str) -> Column:
+    """The first word of block ``j`` of a source; blocks differ by a word at most."""
+    return F.expr(f"({j}) * (source_size div blocks) + (({j}) * (source_size % blocks)) div blocks")
+
+
+def block_words(j: str) -> Column:
+    return block_first(f"({j}) + 1") - block_first(j)
+
+
+def permuted(i: str, turn: str, seed: int) -> Column:
+    """The ``i``-th block of pass ``turn``: each round keeps the numbers below ``blocks``, a power of two, apart."""
+    return F.expr(f"""
+        aggregate(array(0L, 1L, 2L), {i}, (x, r) -> pmod((x ^ shiftright(x, greatest(1, length(bin(blocks)) div 2)))
+            * (2 * pmod(xxhash64({seed}L, place, {turn}, r, 0L), 1048576L) + 1) + pmod(xxhash64({seed}L, place, {turn}, r, 1L), blocks), blocks))""")
+
+
+def quotas(goal: DataFrame, unit: int, seed: int) -> DataFrame:
+    """Block draws of each source: ``blocks``, ``passes`` whole passes, ``draws`` in all, and the words ``last_words`` of a cut last one."""
+    g = goal.withColumn("blocks", F.expr(f"shiftleft(1L, length(bin(greatest(1L, source_size div {unit}L))) - 1)"))
+    g = g.withColumn("words", F.round("target").cast("long"))
+    g = g.withColumn("passes", F.expr("if(source_size = 0, 0L, words div source_size)")).withColumn("rest", F.expr("words - passes * source_size"))
+    part = g.where("rest > 0").withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("block", permuted("i", "passes", seed))
+    part = part.withColumn("words", block_words("block")).withColumn("before", F.sum("words").over(W.partitionBy("place").orderBy("i")) - F.col("words"))
+    part = part.where("before < rest").groupBy(F.col("place").alias("p")).agg(F.count("*").alias("part"), F.max_by(F.least("words", F.col("rest") - F.col("before")), "i").alias("last_words"))
+    g = g.join(part, F.col("place") == F.col("p"), "left")
+    return g.select(*goal.columns, "blocks", "passes", F.expr("passes * blocks + coalesce(part, 0L)").alias("draws"), "last_words")
 
 
 def split_tree(quota: DataFrame, levels: int, seed: int) -> DataFrame:
     """``shard, place, n``: the exact number of draws of each source in each shard."""
-    node = quota.agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("p"), F.col("draws").alias("k")))).alias("q")).select(F.lit(0).alias("node"), "q")
+    node = quota.agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("p"), F.col("draws").alias("k")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     for level in range(levels):
+        if level and level % 4 == 0:
+            node = node.repartition(1 << level, "node")
         node = node.withColumn("total", F.expr("aggregate(q, 0L, (a, x) -> a + x.k)"))
         node = node.withColumn("left", F.expr(f"""
             aggregate(q, struct(total AS open, total div 2 AS want, cast(array() AS array<bigint>) AS out),
                 (a, x) -> named_struct('open', a.open - x.k, 'want', a.want - aggregate(filter(sequence(0L, x.k), t -> t > 0), 0L,
-                        (n, t) -> n + if((a.want - n) > (a.open - t + 1) * (pmod(xxhash64({seed}, {level}, node, x.p, t), 4503599627370496L) / 4503599627370496D), 1L, 0L)),
+                        (n, t) -> n + if((a.want - n) > (a.open - t + 1) * (pmod(xxhash64({seed}L, {level}L, node, x.p, t), 4503599627370496L) / 4503599627370496D), 1L, 0L)),
                     'out', array_append(a.out, a.want)),
                 a -> array_append(a.out, a.want))"""))
         # ``left`` holds what was still wanted before each source, so differences are the counts drawn.
@@ -99,78 +127,91 @@ def split_tree(quota: DataFrame, levels: int, seed: int) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.explode("q").alias("x")).select("shard", F.col("x.p").alias("place"), F.col("x.k").alias("n"))
 
 
-def block_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int = 4, seed: int = 17) -> DataFrame:
-    """Every drawn block: ``source, source_size, target, shard, pass, block, first, words, position``.
+def drawn_blocks(quota: DataFrame, levels: int, seed: int) -> DataFrame:
+    """Every drawn block: ``place, shard, draw, pass, block, first, words``.
 
-    ``first`` and ``words`` are in words of the source; ``position`` orders the
-    blocks within the shard.  Sources from which nothing is drawn have one row
-    with a null block.
+    The rows are the tree's: a shard has ``n`` consecutive draws of a source, after those of the shards before it.
     """
-    quota = materialize(quotas(targets(sized, weights, cap)), "mix-quotas")
-    dealt = split_tree(quota, levels, seed).withColumn("upto", F.sum("n").over(W.partitionBy("place").orderBy("shard")))
-    dealt = dealt.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ranges"))
-    q = quota.join(dealt, "place", "left")
-    drawn = q.withColumn("u", F.explode_outer(F.expr("filter(sequence(0L, draws), t -> t < draws)")))
-    drawn = drawn.withColumn("pass", F.expr(f"u div {BLOCKS}"))
-    # A whole pass is permuted by an affine map with an odd factor; the last, partial one as its quota was drawn.
-    drawn = drawn.withColumn("block", F.expr(f"if(pass < passes, cast(pmod(u * (2 * pmod(xxhash64(source, pass, {seed}), 100000) + 1) + pass, {BLOCKS}) AS int), part[cast(u - passes * {BLOCKS} AS int)].j)"))
-    drawn = drawn.withColumn("first", F.expr(f"(block * source_size) div {BLOCKS}"))
-    drawn = drawn.withColumn("words", F.expr(f"if(pass < passes, ((block + 1L) * source_size) div {BLOCKS} - first, part[cast(u - passes * {BLOCKS} AS int)].take)"))
-    drawn = drawn.withColumn("shard", F.expr("filter(ranges, r -> r.upto > u)[0].shard"))
-    return drawn.select("source", "source_size", "target", "shard", "pass", "block", "first", "words", F.xxhash64(F.lit(seed), "shard", "source", "u").alias("position"))
-
-
-def by_source(plan: DataFrame) -> DataFrame:
-    """A row per source: of each block the ``whole`` draws, the words ``cut`` by a partial one, and the words drawn ``before`` it."""
-    blocks = F.expr(f"block IS NOT NULL AND words < ((block + 1L) * source_size) div {BLOCKS} - first")
-    each = plan.groupBy("source", "source_size", "target", "block").agg(F.sum(F.when(blocks, 0).otherwise(1)).alias("whole"), F.coalesce(F.sum(F.when(blocks, F.col("words"))), F.lit(0)).alias("cut"))
-    m = each.groupBy("source", "source_size", "target").agg(F.map_from_entries(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", F.struct("whole", "cut"))))).alias("m"))
-    m = m.withColumn("whole", F.expr(f"transform(sequence(0, {BLOCKS}), j -> coalesce(m[j].whole, 0L))")).withColumn("cut", F.expr(f"transform(sequence(0, {BLOCKS}), j -> coalesce(m[j].cut, 0L))"))
-    return m.select("source", "source_size", "target", "whole", "cut", F.expr(f"""
-        aggregate(sequence(0, {BLOCKS - 1}), array(0L), (a, j) -> array_append(a, element_at(a, -1) + whole[j] * (((j + 1L) * source_size) div {BLOCKS} - (j * source_size) div {BLOCKS}) + cut[j]))""").alias("before"))
-
-
-def placed(sized: DataFrame) -> DataFrame:
-    """Documents with ``start``, their first word's place in their source's hashed order.
+    dealt = split_tree(quota, levels, seed).withColumn("low", F.sum("n").over(W.partitionBy("place").orderBy("shard")) - F.col("n"))
+    d = dealt.where("n > 0").withColumn("draw", F.explode(F.expr("sequence(low, low + n - 1)")))
+    d = d.join(quota.drop("source", "target"), "place").withColumn("pass", F.expr("draw div blocks")).withColumn("block", permuted("draw % blocks", "pass", seed))
+    words = F.when(F.col("draw") == F.col("draws") - 1, F.col("last_words"))
+    return d.select("place", "shard", "draw", "pass", "block", block_first("block").alias("first"), F.coalesce(words, block_words("block")).alias("words"))
+
+
+def placed(sized: DataFrame, rows: int) -> DataFrame:
+    """Documents with words, and their first word's place ``start`` in their source's hashed order.
 
     Two-level running sums: within hashed buckets of a source, then over the buckets' totals.
     """
     n = 256
-    while n * BUCKET_ROWS < sized.count() and n < 1 << 20:
+    while n * BUCKET_ROWS < rows and n < 1 << 20:
         n *= 2
-    d = sized.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(n)))
-    key = W.partitionBy("source", "bucket")
-    inner = d.withColumn("start", F.sum("size").over(key.orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    d = sized.where("size > 0").withColumn("bucket", F.pmod("h", F.lit(n)))
+    inner = d.withColumn("start", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     totals = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).alias("base"))
-    return inner.join(totals, inner["source"].eqNullSafe(totals["s"]) & (inner["bucket"] == totals["b"])).select("doc_id", "source", "size", (F.col("start") + F.col("base")).alias("start"))
+    both = inner.join(totals, inner["source"].eqNullSafe(totals["s"]) & (inner["bucket"] == totals["b"]))
+    return both.select("row", "doc_id", "source", "size", "h", (F.col("start") + F.col("base")).alias("start"))
 
 
-def _drawn(x: str) -> str:
-    """SQL for the words drawn from the source's first ``x`` words."""
-    j = f"cast(least({BLOCKS}L, ((({x}) + 1) * {BLOCKS} - 1) div source_size) AS int)"
-    within = f"(({x}) - ({j} * source_size) div {BLOCKS})"
-    return f"(before[{j}] + whole[{j}] * {within} + least({within}, cut[{j}]))"
+def block_of(x: str) -> Column:
+    """The block of a source's word ``x``."""
+    return F.expr(f"(cast(({x}) + 1 AS decimal(20, 0)) * blocks - 1) div source_size")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int = 4, seed: int = 17, **cols: str) -> DataFrame:
-    """A row per document: ``doc_id, size, source_size, target, taken, copies``.
+class Mix:
+    """The tables of a mix: ``quota`` by source, ``blocks`` drawn, and ``placed`` documents with their source's numbers."""
 
-    ``taken`` is in words, repeats counted.  ``copies`` is how often the word in
-    the document's middle is drawn: the whole-document form of the mix.
+    def __init__(self, sized: DataFrame, weights: tuple[int, ...], cap: int, levels: int | None, seed: int):
+        facts = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        words = facts[1]
+        if levels is None:
+            levels = max(LEVELS, (-(-words // SHARD_WORDS) - 1).bit_length())
+        unit = max(1, min(BLOCK_WORDS, words // BLOCKS))
+        self.quota = materialize(quotas(targets(sized, weights, cap), unit, seed), "mix-quotas")
+        self.blocks = materialize(drawn_blocks(self.quota, levels, seed), "mix-blocks")
+        s = self.quota.withColumnRenamed("source", "s").select("s", "place", "source_size", "target", "blocks")
+        d = placed(sized, facts[0])
+        self.placed = d.join(s, d["source"].eqNullSafe(s["s"])).drop("s")
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int | None = None, seed: int = 17, **cols: str) -> DataFrame:
+    """A row per document: ``doc_id, size, source_size, target, taken, copies, shards``.
+
+    ``taken`` is in words, repeats counted; ``shards`` lists the words taken by
+    each shard, as ``shard:words``, comma-joined.  ``copies`` is how often the
+    word in the document's middle is drawn: the whole-document form of the mix.
     """
     sized = sizes(df, **cols)
-    s = materialize(by_source(block_plan(sized, weights, cap, levels, seed)), "mix-sources").withColumnRenamed("source", "s")
-    d = placed(sized)
-    d = d.join(s, d["source"].eqNullSafe(s["s"]))
-    middle = "start + (size - 1) div 2"
-    taken = F.expr(f"if(size > 0, {_drawn('start + size')} - {_drawn('start')}, 0L)")
-    copies = F.expr(f"if(size > 0, cast({_drawn(f'{middle} + 1')} - {_drawn(middle)} AS int), 0)")
-    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
-
-
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each repeated ``copies`` times, with the columns of ``df``."""
-    m = mix(df, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = df.join(m.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__k", F.explode(F.expr("filter(sequence(0, __copies), t -> t > 0)"))).select(*df.columns)
+    m = Mix(sized, weights, cap, levels, seed)
+    draws = m.blocks.groupBy(F.col("place").alias("p"), F.col("block").alias("b")).agg(F.first("first").alias("first"), F.collect_list(F.struct("shard", "words")).alias("draws"))
+    d = m.placed.withColumn("middle", F.expr("start + (size - 1) div 2"))
+    d = d.withColumn("block", F.explode(F.sequence(block_of("start"), block_of("start + size - 1"))))
+    d = d.join(draws, (F.col("place") == F.col("p")) & (F.col("block") == F.col("b")), "left")
+    d = d.withColumn("got", F.expr("filter(transform(draws, x -> struct(x.shard AS shard, least(start + size, first + x.words) - greatest(start, first) AS words)), x -> x.words > 0)"))
+    d = d.withColumn("twice", F.expr("size(filter(draws, x -> middle >= first AND middle < first + x.words))"))
+    one = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    d = d.groupBy("row").agg(*one, F.flatten(F.collect_list("got")).alias("got"), F.coalesce(F.sum(F.greatest("twice", F.lit(0))), F.lit(0)).cast("int").alias("copies"))
+    shards = "transform(array_sort(array_distinct(transform(got, x -> x.shard))), s -> concat(s, ':', aggregate(filter(got, x -> x.shard = s), 0L, (a, x) -> a + x.words)))"
+    d = d.select("doc_id", "size", "source_size", "target", F.expr("aggregate(got, 0L, (a, x) -> a + x.words)").alias("taken"), "copies", F.array_join(F.expr(shards), ",").alias("shards"))
+    s = m.quota.select(F.col("source").alias("s"), "source_size", "target")
+    none = sized.where("size = 0").join(s, F.col("source").eqNullSafe(F.col("s")))
+    return d.unionByName(none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit("").alias("shards")))
+
+
+def mixed_documents(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int | None = None, seed: int = 17, places: bool = False, **cols: str) -> DataFrame:
+    """Whole documents, one for each draw of the word in their middle, with the columns of ``df``.
+
+    They are dealt by shard and lie in hashed order within a piece of it;
+    ``places`` adds the columns ``shard, position`` that say so.
+    """
+    sized = sizes(df, cols.get("id_col", "doc_id"), cols.get("text_col", "text"), cols.get("source_col", "source"), *df.columns)
+    m = Mix(sized.select("doc_id", "source", "size", "h", "row"), weights, cap, levels, seed)
+    d = m.placed.withColumn("middle", F.expr("start + (size - 1) div 2")).withColumn("block", block_of("middle"))
+    draws = m.blocks.select(F.col("place").alias("p"), F.col("block").alias("b"), "shard", "draw", "first", "words")
+    d = d.join(draws, (F.col("place") == F.col("p")) & (F.col("block") == F.col("b"))).where("middle < first + words")
+    d = d.select(F.col("row").alias("r"), "shard", F.xxhash64(F.lit(seed).cast("long"), "shard", "place", "draw", "h").alias("position"))
+    out = sized.join(d, F.col("row") == F.col("r")).withColumn("piece", F.pmod("position", F.lit(PIECES)))
+    out = out.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "position", "row")
+    return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(df.columns)], *(["shard", "position"] if places else []))

@@ -352,7 +352,8 @@ def test_early_stop_is_exact():
     v[:20] *= 6  # long vectors stand out, so readers stop early
     ids = np.arange(3000)
     q, q_ids = v[:40], ids[:40]
-    rows, cols, score = topk.best_of(q, q_ids, v, ids, 5)
+    rows, cols, score, stopped = topk.best_of(q, q_ids, v, ids, 5)
+    assert (stopped < 1).all()
     for i in range(40):
         s = v @ q[i]
         s[i] = -(10**9)

@@ -16,11 +16,13 @@ SLICE = 256
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where no ``spark.checkpoint.dir`` is configured (tests) is a local
-    temporary folder made and remembered in the session.
+    Only in a local session without ``spark.checkpoint.dir`` (tests) is a
+    temporary folder made and remembered; a cluster without one is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracegraph.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tracegraph-")
         spark.conf.set("tracegraph.shared.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if path := getattr(df, "_shared_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *extra: str) -> DataFrame:

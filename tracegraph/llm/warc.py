@@ -7,11 +7,18 @@ follows the ZIP64 locator if sizes need it, walks the central directory, locates
 a member's bytes behind its local header, and reads the ranges that the index
 names, each one record.
 
-Packages travel as rows with a binary column.  Anything that Spark reads works
-(``packages_at`` uses its binary file source), and ``ZipPackage`` takes any
-function that reads a range.
-
-Cases: a null or empty html is an empty payload; payloads shorter than
+Packages are files in the cluster's shared folder, written by the tasks under
+names of their own attempt; a table of the committed tasks' files says which
+count, so files of lost or repeated attempts are never read.  Readers open a
+package where it lies and read ranges of it: first its directories and index,
+then the records, of large packages in several tasks.  Paths are those of
+Arrow's file systems (local and mounted ones, hdfs, s3, gs, abfs).
+
+What is a response is decided from ids and digests before any record is built;
+of a revisit no payload is compressed.
+
+Cases: an empty table makes no package; a very long html is one record, larger
+than a package's usual size; a null or empty html is an empty payload; payloads shorter than
 ``min_bytes`` are always responses; rows repeating the smallest page_id of a
 payload are responses each; a null page_id is never referred to, and a payload
 seen only with null ids is a response; other columns but the url are ignored.
@@ -22,19 +29,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm._common import map_slices, materialize
+from tracegraph.llm._common import SLICE, map_slices, materialize, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 RECORDS, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Bytes of records at which a package is closed.
 PACKAGE_BYTES = 8 << 20
+#: Records, and bytes of an index, that are read together.
+RECORDS_READ, INDEX_READ = 4_096, 1 << 20
 
 # Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -149,15 +160,25 @@ class ZipPackage:
         name_n, extra_n = struct.unpack_from("<HH", head, 26)
         return local + 30 + name_n + extra_n, length
 
-    def records(self) -> Iterator[dict]:
-        """Every indexed record, each by one range read."""
+    def entries(self) -> Iterator[tuple[int, int]]:
+        """Offset in the package and length of every indexed record; the index is read piece by piece."""
         base, length = self.locate(RECORDS)
         at, n = self.locate(INDEX)
-        for line in self.read(at, n).decode().splitlines():
-            where = json.loads(line[line.index("{") :])
-            if where["offset"] + where["length"] > length:
-                raise ValueError("an index line points beyond its member")
-            yield parse_record(self.read(base + where["offset"], where["length"]))
+        rest = b""
+        for piece in range(0, n, INDEX_READ):
+            *lines, rest = (rest + self.read(at + piece, min(INDEX_READ, n - piece))).split(b"\n")
+            for line in lines:
+                where = json.loads(line[line.index(b"{") :])
+                if where["offset"] + where["length"] > length:
+                    raise ValueError("an index line points beyond its member")
+                yield base + where["offset"], where["length"]
+        if rest:
+            raise ValueError("the index ends within a line")
+
+    def records(self) -> Iterator[dict]:
+        """Every indexed record, each by one range read."""
+        for at, n in self.entries():
+            yield parse_record(self.read(at, n))
 
 
 def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
@@ -170,91 +191,124 @@ def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     return zip_bytes([(RECORDS, b"".join(r for _, r in records)), (INDEX, "".join(lines).encode()), (MANIFEST, manifest.encode())], zip64)
 
 
-def deduplicated(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, n_bytes, digest, refers_to, raw``: ``raw`` is the response record, null for a revisit.
+def decided(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, n_bytes, hex, refers_to, html``: ``html`` is null for a revisit.
 
-    Responses are gzipped before the one shuffle, so it moves compressed bytes.
+    The list of payloads with several records comes from ids and digests alone; it has a row for each.
     """
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-
-    def make():
-        def fn(cols: dict) -> dict:
-            data = [h.encode() for h in cols["html"]]
-            digests = [digest_of(d) for d in data]
-            raw = [record("response", i, u, d, g, len(d)) for i, u, d, g in zip(cols["page_id"], cols["url"], data, digests)]
-            return {"page_id": cols["page_id"], "url": cols["url"], "n_bytes": list(map(len, data)), "digest": digests, "raw": raw}
-
-        return fn
-
-    made = map_slices(src, make, "page_id long, url string, n_bytes long, digest string, raw binary")
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    first = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("hex"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
+    payload = F.coalesce(F.col(html_col), F.lit(""))
+    facts = [F.sha1(payload.cast("binary")).alias("hex"), F.octet_length(payload).cast("long").alias("n_bytes")]
+    page_id = F.col(id_col).cast("long").alias("page_id")
+    first = pages.select(page_id, *facts).where(F.col("n_bytes") >= min_bytes)
     first = first.groupBy("hex").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    first = materialize(first.select("hex", "first_id"), "payloads")
-    base32 = made.withColumn("hex", _hex_of_base32("digest"))
-    out = base32.join(first.withColumnRenamed("hex", "h"), F.col("hex") == F.col("h"), "left")
+    first = materialize(first.select(F.col("hex").alias("h"), "first_id"), "payloads")
+    src = pages.select(page_id, F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("html"), *facts)
+    out = src.join(first, F.col("hex") == F.col("h"), "left")
     again = F.col("first_id").isNotNull() & (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return out.select("page_id", "url", "n_bytes", "digest", F.when(again, F.col("first_id")).alias("refers_to"), F.when(~again, F.col("raw")).alias("raw"))
+    return out.select("page_id", "url", "n_bytes", "hex", F.when(again, F.col("first_id")).alias("refers_to"), F.when(~again, F.col("html")).alias("html"))
+
 
+def opened(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow.fs import FileSystem
 
-def _hex_of_base32(name: str):
-    """SHA-1 in hex from base 32, with built-in functions: four groups of eight characters, 40 bits each."""
-    part = "lpad(hex(aggregate(sequence(1, 8), 0L, (a, i) -> a * 32 + locate(substr({n}, {o} + i, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') - 1)), 10, '0')"
-    return F.expr("lower(concat(" + ", ".join(part.format(n=name, o=8 * k) for k in range(4)) + "))")
+    return FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "/", path)))
 
 
-def packages(pages: DataFrame, min_bytes: int = 0, **cols: str) -> DataFrame:
-    """``package binary``: all pages in packages of about PACKAGE_BYTES, written to the shared folder."""
+def packages(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, **cols: str) -> DataFrame:
+    """``path, length`` of packages of about PACKAGE_BYTES with all pages, in ``folder`` or a fresh one of the shared folder."""
+    folder = folder or shared_dir(pages.sparkSession, "packages")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name = f"{folder}/part-{task.partitionId():05}-{task.attemptNumber()}-{uuid.uuid4().hex}"
         held: list[tuple[str, bytes]] = []
-        total = 0
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], names=["package"])
+        total = count = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, total, count
+            path, raw = f"{name}-{count:05}.wacz", package(held)
+            store, inner = opened(path)
+            store.create_dir(inner.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(inner) as f:
+                f.write(raw)
+            held, total, count = [], 0, count + 1
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(raw)], pa.int64())], names=["path", "length"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = r["raw"] if r["raw"] is not None else record("revisit", r["page_id"], r["url"], b"", r["digest"], r["n_bytes"], r["refers_to"])
-                held.append((f"page:{r['page_id']}", raw))
-                total += len(raw)
-                if total >= PACKAGE_BYTES:
-                    yield flush()
-                    held, total = [], 0
+            for at in range(0, batch.num_rows, SLICE):
+                for r in batch.slice(at, SLICE).to_pylist():
+                    digest = base64.b32encode(bytes.fromhex(r["hex"])).decode()
+                    kind = "revisit" if r["html"] is None else "response"
+                    raw = record(kind, r["page_id"], r["url"], (r["html"] or "").encode(), digest, r["n_bytes"], r["refers_to"])
+                    held.append((f"page:{r['page_id']}", raw))
+                    total += len(raw)
+                    if total >= PACKAGE_BYTES:
+                        yield flush()
         if held:
             yield flush()
 
-    return materialize(deduplicated(pages, min_bytes, **cols).mapInArrow(pack, "package binary"), "packages")
+    return materialize(decided(pages, min_bytes, **cols).mapInArrow(pack, "path string, length long"), "package-list")
 
 
 def packages_at(spark: SparkSession, path: str) -> DataFrame:
-    """Packages that lie as files below ``path``, as ``package binary``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("content").alias("package"))
+    """``path, length`` of the packages that lie as files below ``path``; none is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
-def read_packages(packs: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """A row per record: id, sizes and digest (of a response computed from the bytes read), type, reference and payload."""
-
-    def make():
-        def fn(cols: dict) -> dict:
-            out: dict = {k: [] for k in names}
-            for raw in cols["package"]:
-                view = memoryview(raw)
-                for r in ZipPackage(lambda at, n: bytes(view[at : at + n]), len(raw)).records():
-                    page, refers = r["WARC-Record-ID"][10:-1], r.get("WARC-Refers-To", "")[10:-1]
-                    full = r["WARC-Type"] == "response"
-                    out["page_id"].append(None if page == "None" else int(page))
-                    out["url"].append(r["WARC-Target-URI"])
-                    out["payload_bytes"].append(len(r["payload"]) if full else int(r["X-Payload-Bytes"]))
-                    out["payload_digest"].append(digest_of(r["payload"]) if full else r["WARC-Payload-Digest"][5:])
-                    out["record_type"].append(r["WARC-Type"])
-                    out["refers_to"].append(int(refers) if refers else None)
-                    if keep_payload:
-                        out["payload"].append(r["payload"] if full else None)
-            return out
-
-        return fn
+def ranges(packs: DataFrame) -> DataFrame:
+    """``path, at, n``: offsets and lengths of up to RECORDS_READ records of a package to a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path: str, part: list[tuple[int, int]]) -> pa.RecordBatch:
+            numbers = [pa.array([[x[i] for x in part]], pa.list_(pa.int64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([path]), *numbers], names=["path", "at", "n"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, inner = opened(r["path"])
+                with store.open_input_file(inner) as f:
+                    part: list[tuple[int, int]] = []
+                    for entry in ZipPackage(lambda at, n: f.read_at(n, at), r["length"]).entries():
+                        part.append(entry)
+                        if len(part) == RECORDS_READ:
+                            yield row(r["path"], part)
+                            part = []
+                    if part:
+                        yield row(r["path"], part)
+
+    return packs.select("path", "length").mapInArrow(run, "path string, at array<long>, n array<long>")
+
 
+def read_packages(packs: DataFrame, keep_payload: bool = True) -> DataFrame:
+    """A row per record of the packages ``path, length``: id, sizes and digest (of a response computed from the
+    bytes read), type, reference and payload."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload
     names = [x.split()[0] for x in schema.split(", ")]
-    return map_slices(packs.select("package"), make, schema, rows=1)
+    out_schema = packs.sparkSession.createDataFrame([], schema).schema
+
+    def fields(r: dict) -> tuple:
+        page, refers, full = r["WARC-Record-ID"][10:-1], r.get("WARC-Refers-To", "")[10:-1], r["WARC-Type"] == "response"
+        n, digest = (len(r["payload"]), digest_of(r["payload"])) if full else (int(r["X-Payload-Bytes"]), r["WARC-Payload-Digest"][5:])
+        out = (None if page == "None" else int(page), r["WARC-Target-URI"], n, digest, r["WARC-Type"], int(refers) if refers else None)
+        return (*out, r["payload"] if full else None) if keep_payload else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out_schema)
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, inner = opened(r["path"])
+                with store.open_input_file(inner) as f:
+                    for i in range(0, len(r["at"]), SLICE):
+                        rows = [fields(parse_record(f.read_at(n, at))) for at, n in zip(r["at"][i : i + SLICE], r["n"][i : i + SLICE])]
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], arrow.field(k).type) for k in range(len(names))], schema=arrow)
+
+    # Dealt anew, so that the records of a large package are read by several tasks.
+    return ranges(packs).repartition("path", F.col("at")[0]).mapInArrow(run, out_schema)
 
 
 def digests(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -246,13 +246,12 @@ def test_rows_with_one_id_differ_in_text(spark, keep):
     assert not keep or all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
-def test_shards_merge(monkeypatch):
-    monkeypatch.setattr(suffix, "SHARD_BYTES", 200)
+def test_shards_merge():
     rnd = random.Random(2)
     base = bytes(rnd.choice(b"ab") for _ in range(400))
     parts = [(d, base[a : a + 49 + n]) for d, (a, n) in enumerate((rnd.randrange(300), rnd.randint(1, 56)) for _ in range(40))]
     rows = [{"slice": i, "runs": bytes([len(p) - 49]), "docs": np.array([d], np.int64).tobytes(), "body": p + b"\xff"} for i, (d, p) in enumerate(parts)]
-    got = suffix.answers(rows, 50)
+    got = suffix.answers(rows, 50, 200)
     for (d, p), mask in zip(parts, got):
         for j in range(len(p) - 49):
             assert (int(mask[0]) >> j & 1) == any(e < d and p[j : j + 50] in q for e, q in parts)

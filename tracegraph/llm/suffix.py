@@ -13,16 +13,19 @@ document with a smaller id.  Strings never cross documents.
    hash, where strings are compared.  A group is worked in shards: each gets a
    suffix array by Larsson-Sadakane refinement, common prefixes by Kasai's
    inheritance (all runs in step), and from these its distinct strings with
-   their smallest document, in order.  Shards are merged by binary search.
+   their smallest document, in order.  Shards are merged two by two, by binary search.
 5. A bit for each string of a run goes back to its slice, which cuts.
 
 Steps 3 and 4 decide what is worth comparing and where; only compared bytes
-decide what is removed.  What a group receives is bounded by one run for each
-slice and content, even if all documents share a passage.
+decide what is removed.  A hash that more than ``HOT`` slices share is first
+worked by parts of the slices, each of which keeps one run of a content; only
+these meet in the hash's group, and the parts pass its answers on.
 
 Cases: a null or empty text has no bytes; texts shorter than ``length`` keep all;
 rows with the same doc_id never take from each other; rows with a null doc_id
-keep all and take nothing; other columns are ignored.
+keep all and take nothing; an empty table has no rows; repeated rows are a row
+each; other columns are ignored.  A text is never cut: it is hashed piece by
+piece, and a task that holds it needs some ten bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
 #: Strings in a run at most, so that a run's answer is one number.
 RUN = 56
+#: Slices that may share a hash before their runs are reduced in parts of about as many slices.
+HOT = 64
 END = b"\xff"  # never in UTF-8
 
 SLICE_SCHEMA = "slice long, ids binary, sizes binary, runs binary, lows binary, body binary"
@@ -63,16 +68,18 @@ def gram_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return h
 
 
-def find_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def find_runs(texts: list[bytes], length: int, at_once: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Over all strings of all texts in order: lengths of the runs, and where in a run's first string its hash lies."""
     runs, lows = [], []
     width = length - GRAM + 1
     at = 0
-    while at < len(texts):
+    # Long texts by pieces, each with all strings that start in ``at_once`` bytes of the text.
+    pieces = [t[o : o + at_once + length - 1] for t in texts for o in range(0, max(1, len(t) - length + 1), at_once)]
+    while at < len(pieces):
         block, size = [], 0
-        while at < len(texts) and (not block or size + len(texts[at]) <= BLOCK_BYTES):
-            block.append(texts[at])
-            size += len(texts[at]) + 1
+        while at < len(pieces) and (not block or size + len(pieces[at]) <= at_once):
+            block.append(pieces[at])
+            size += len(pieces[at]) + 1
             at += 1
         data = np.frombuffer(END.join(block) + END + bytes(GRAM), np.uint8)
         words = words_at(data)
@@ -95,10 +102,10 @@ def find_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(new)
         lengths = np.diff(np.append(first, len(starts)))
         if lengths.max() > RUN:
-            pieces = -(-lengths // RUN)
-            inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first = np.repeat(first, pieces) + inner * RUN
-            lengths = np.minimum(np.repeat(lengths, pieces) - inner * RUN, RUN)
+            parts = -(-lengths // RUN)
+            inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.repeat(first, parts) + inner * RUN
+            lengths = np.minimum(np.repeat(lengths, parts) - inner * RUN, RUN)
         offset = np.full(len(first), width, np.int64)
         todo = np.arange(len(first))
         for j in range(width):  # the leftmost place of the smallest hash
@@ -152,13 +159,13 @@ class Slice:
             wanted[order] |= np.repeat(several, np.diff(np.append(head, len(k))))
         return np.flatnonzero(wanted)
 
-    def distinct(self, picked: np.ndarray, groups: int) -> tuple[dict[bytes, int], list[int], np.ndarray]:
-        """Contents of the picked runs to their numbers in order of first use, each run's number, and each content's group."""
+    def distinct(self, picked: np.ndarray, groups: int, hot: np.ndarray, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contents of the picked runs in order of first use, each run's content, and each content's first run, group and whether its hash is hot."""
         body, extra, known = self.body, self.length - 1, {}
         number = [known.setdefault(body[a : a + n + extra], len(known)) for a, n in zip(self.at[picked].tolist(), self.run[picked].tolist())]
-        first = np.unique(np.array(number, np.int64), return_index=True)[1] if number else np.zeros(0, np.int64)
+        first = picked[np.unique(np.array(number, np.int64), return_index=True)[1]] if number else np.zeros(0, np.int64)
         # All runs with one hash must meet, so the group comes from the hash alone.
-        return known, number, (self.hash[picked[first]] >> np.uint64(8)) % np.uint64(groups)
+        return list(known), np.array(number, np.int64), first, (self.hash[first] >> np.uint64(8)) % np.uint64(groups), np.isin(self.keys(buckets)[first], hot)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -255,7 +262,25 @@ def shard_strings(text: np.ndarray, starts: np.ndarray, runs: np.ndarray, docs:
     return np.ascontiguousarray(table).view(f"S{length}").ravel(), low, of
 
 
-def answers(rows: list[dict], length: int) -> list[np.ndarray]:
+def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of distinct strings in order, with their smallest documents, as one; two by two."""
+    while len(tables) > 1:
+        pairs = [tables[i : i + 2] for i in range(0, len(tables), 2)]
+        tables = [merge(*p) if len(p) == 2 else p[0] for p in pairs]
+    return tables[0]
+
+
+def merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of ``two`` find their place among those of ``one`` by binary search."""
+    (strings, low), (others, other_low) = one, two
+    at = np.searchsorted(strings, others)
+    same = strings[np.minimum(at, len(strings) - 1)] == others
+    low = low.copy()
+    low[at[same]] = np.minimum(low[at[same]], other_low[same])
+    return np.insert(strings, at[~same], others[~same]), np.insert(low, at[~same], other_low[~same])
+
+
+def answers(rows: list[dict], length: int, shard: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each row of runs, a number per run: its bit j is set if string j also starts in a smaller document of the group.
 
     Equal contents are compared as one, under their smallest document: all
@@ -270,9 +295,9 @@ def answers(rows: list[dict], length: int) -> list[np.ndarray]:
     contents = list(known)
 
     shards: list[list[int]] = []
-    size = SHARD_BYTES
+    size = shard
     for i, c in enumerate(contents):
-        if size + len(c) > SHARD_BYTES:
+        if size + len(c) > shard:
             shards.append([])
             size = 0
         shards[-1].append(i)
@@ -283,12 +308,9 @@ def answers(rows: list[dict], length: int) -> list[np.ndarray]:
         runs = np.array([len(contents[i]) for i in members], np.int64) - length + 1
         width = runs + length  # a terminator follows each content
         done.append((members, runs, *shard_strings(text, np.cumsum(width) - width, runs, own[members], length)))
-    lows = [d[3].copy() for d in done]
-    for a, d in enumerate(done):
-        for b, e in enumerate(done):
-            if a != b:  # merging: each distinct string is looked up among those of the other shard
-                found = np.minimum(np.searchsorted(e[2], d[2]), len(e[2]) - 1)
-                lows[a] = np.where(e[2][found] == d[2], np.minimum(lows[a], e[3][found]), lows[a])
+    # All strings of the shards, in order; each shard then looks its own up.
+    strings, smallest = merged([(d[2], d[3]) for d in done])
+    lows = [smallest[np.searchsorted(strings, d[2])] for d in done]
     mask = np.zeros(len(contents), np.uint64)
     for (members, runs, _, _, of), low in zip(done, lows):
         first = np.cumsum(runs) - runs
@@ -308,7 +330,7 @@ def pack(length: int):
 
         held.sort()
         texts = [t for _, t in held]
-        runs, lows = find_runs(texts, length)
+        runs, lows = find_runs(texts, length, BLOCK_BYTES)
         ids, sizes = np.array([i for i, _ in held], np.int64), np.array(list(map(len, texts)), np.int64)
         columns = [[number], [ids.tobytes()], [sizes.tobytes()], [runs.tobytes()], [lows.tobytes()], [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 5])], names=["slice", "ids", "sizes", "runs", "lows", "body"])
@@ -340,7 +362,13 @@ def batch_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Rec
 
 BUCKET_ROW = [("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())]
 REPLY_ROW = [("slice", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary())]
-GROUP_ROW = [("part", pa.int32()), ("slice", pa.int64()), ("runs", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())]
+GROUP_ROW = [("part", pa.int32()), ("salt", pa.int32()), ("slice", pa.int64()), ("runs", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())]
+#: What groups return: answers (ANSWER), the distinct contents of a part of a hot group (PART), or its rows as they came (ROW).
+WORKED_ROW = [("kind", pa.int32()), *GROUP_ROW]
+GROUP_SCHEMA = "part int, salt int, slice long, runs binary, docs binary, body binary"
+WORKED_SCHEMA = f"kind int, {GROUP_SCHEMA}"
+# Kinds of replies to a slice: keys that others have, too; of these the hot ones; answers to its runs, and to its runs of hot groups.
+SHARED, ANSWER, HOT_KEY, HOT_ANSWER, PART, ROW = range(6)
 DOC_ROW = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
@@ -362,65 +390,115 @@ def hashes_out(buckets: int, length: int):
             for i in range(batch.num_rows):
                 s = Slice(batch.slice(i, 1).to_pylist()[0], length)
                 key = np.unique(s.keys(buckets))
-                cut = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
-                yield batch_of(BUCKET_ROW, [(b, s.id, five_bytes(key[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]])
+                bucket, first = np.unique(key >> np.uint64(40), return_index=True)
+                ends = np.append(first[1:], len(key))
+                yield batch_of(BUCKET_ROW, [(b, s.id, five_bytes(key[x:y])) for b, x, y in zip(bucket.tolist(), first, ends)])
 
     return run
 
 
-def shared_keys(table: pa.Table) -> pa.Table:
-    """Of a bucket: by slice, the keys that another slice has, too."""
-    rows = table.to_pylist()
-    key, count = np.unique(np.concatenate([from_five(r["data"]) for r in rows]), return_counts=True)
-    several = key[count > 1]
-    out = []
-    for r in rows:
-        own = from_five(r["data"])
-        if len(several):
-            own = own[several[np.minimum(np.searchsorted(several, own), len(several) - 1)] == own]
-            if len(own):
-                out.append((r["slice"], 0, r["bucket"], five_bytes(own)))
-    return pa.Table.from_batches([batch_of(REPLY_ROW, out)])
+def shared_keys(most: int):
+    """Of a bucket: by slice, the keys that another slice has, too, and of these the hot ones; by whole columns, as a hot bucket has a row for each slice."""
+
+    def run(table: pa.Table) -> pa.Table:
+        slices, bucket = table["slice"].to_numpy(), table["bucket"][0].as_py()
+        chunks = [c.cast(pa.large_binary()) for c in table["data"].chunks]
+        offsets = [np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1] for c in chunks]
+        key = np.concatenate([from_five(c.buffers()[2][int(o[0]) : int(o[-1])]) for c, o in zip(chunks, offsets)])
+        row = np.repeat(np.arange(len(slices)), np.concatenate([np.diff(o) for o in offsets]) // 5)
+        _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+        count = count[number]
+        out = []
+        for kind, wanted in ((SHARED, count > 1), (HOT_KEY, count > most)):
+            rows, first = np.unique(row[wanted], return_index=True)
+            data, ends = five_bytes(key[wanted]), 5 * np.append(first[1:], wanted.sum())
+            values = pa.array([data[a:b] for a, b in zip((5 * first).tolist(), ends.tolist())], pa.binary())
+            full = lambda x: pa.array(np.full(len(rows), x, np.int32))  # noqa: B023, E731
+            out.append(pa.RecordBatch.from_arrays([pa.array(slices[rows]), full(kind), full(bucket), values], names=[n for n, _ in REPLY_ROW]))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
-def shared_of(rows: list[dict]) -> np.ndarray:
-    keys = [from_five(r["data"]) | np.uint64(r["part"] << 40) for r in rows if r["kind"] == 0]
+def keys_of(rows: list[dict], kind: int) -> np.ndarray:
+    keys = [from_five(r["data"]) | np.uint64(r["part"] << 40) for r in rows if r["kind"] == kind]
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-def runs_out(buckets: int, groups: int, length: int):
-    """A slice and its shared keys to a row per group with its distinct contents."""
+def contents_row(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[bytes, bytes, bytes]:
+    """``runs, docs, body`` of a row of runs."""
+    return bytes(len(x) - length + 1 for x in contents), docs.astype(np.int64).tobytes(), END.join(contents) + END
+
+
+def runs_out(buckets: int, groups: int, salts: int, length: int):
+    """A slice and its shared keys to a row per group with its distinct contents; those of hot hashes apart, with a salt."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        replies = right.to_pylist()
         for row in left.to_pylist():
             s = Slice(row, length)
-            picked = s.chosen(shared_of(right.to_pylist()), buckets)
-            known, number, group = s.distinct(picked, groups)
-            if not known:
-                continue
-            contents = list(known)
-            first = np.unique(np.array(number), return_index=True)[1]
-            docs = s.ids[s.doc[picked[first]]]
-            order = np.argsort(group, kind="stable")
-            cut = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
-            for a, b in zip(cut, np.append(cut[1:], len(order))):
-                m = order[a:b]
-                mine = [contents[x] for x in m.tolist()]
-                out.append((int(group[m[0]]), s.id, bytes(len(x) - length + 1 for x in mine), docs[m].tobytes(), END.join(mine) + END))
+            contents, _, first, group, hot = s.distinct(s.chosen(keys_of(replies, SHARED), buckets), groups, keys_of(replies, HOT_KEY), buckets)
+            docs, salt = s.ids[s.doc[first]], s.id * 0x9E3779B1 % (1 << 31) % salts
+            for some, mark in ((np.flatnonzero(~hot), -1), (np.flatnonzero(hot), salt)):
+                some = some[np.argsort(group[some], kind="stable")]
+                cut = np.flatnonzero(np.append(True, group[some][1:] != group[some][:-1])) if len(some) else []
+                for a, b in zip(cut, np.append(cut[1:], len(some))):
+                    m = some[a:b]
+                    out.append((int(group[m[0]]), mark, s.id, *contents_row([contents[x] for x in m.tolist()], docs[m], length)))
         return pa.Table.from_batches([batch_of(GROUP_ROW, out)])
 
     return run
 
 
+def row_contents(row: dict) -> tuple[list[bytes], np.ndarray]:
+    return row["body"].split(END)[:-1], np.frombuffer(row["docs"], np.int64)
+
+
 def compare(length: int):
+    """A group to its answers; a part of a hot one to its distinct contents with their smallest documents, and its rows."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
-        return pa.Table.from_batches([batch_of(REPLY_ROW, [(r["slice"], 1, r["part"], a.tobytes()) for r, a in zip(rows, answers(rows, length))])])
+        part, salt = rows[0]["part"], rows[0]["salt"]
+        if salt < 0:
+            out = [(ANSWER, part, salt, r["slice"], a.tobytes(), None, None) for r, a in zip(rows, answers(rows, length, SHARD_BYTES))]
+        else:
+            low: dict[bytes, int] = {}
+            for r in rows:
+                for c, d in zip(*row_contents(r)):
+                    low[c] = min(low.get(c, d), d)
+            out = [(PART, part, salt, salt, *contents_row(list(low), np.array(list(low.values()), np.int64), length))]
+            out += [(ROW, part, salt, r["slice"], r["runs"], r["docs"], r["body"]) for r in rows]
+        return pa.Table.from_batches([batch_of(WORKED_ROW, out)])
 
     return run
 
 
+def compare_parts(length: int):
+    """The parts of a hot group to an answer for each of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["salt"])
+        return pa.Table.from_batches([batch_of(WORKED_ROW, [(ANSWER, r["part"], r["salt"], r["slice"], a.tobytes(), None, None) for r, a in zip(rows, answers(rows, length, SHARD_BYTES))])])
+
+    return run
+
+
+def pass_on(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part's rows and answer to the answers of its slices: later documents than the part's first one lose every string."""
+    rows, out = left.to_pylist(), []
+    head = next(r for r in rows if r["kind"] == PART)
+    contents, docs = row_contents(head)
+    at, answer = {c: i for i, c in enumerate(contents)}, np.frombuffer(right.to_pylist()[0]["runs"], np.uint64)
+    for r in rows:
+        if r["kind"] == ROW:
+            own, d = row_contents(r)
+            i = np.array([at[c] for c in own], np.int64)
+            out.append((r["slice"], HOT_ANSWER, r["part"], np.where(d > docs[i], np.uint64(2**64 - 1), answer[i]).tobytes()))
+    return pa.Table.from_batches([batch_of(REPLY_ROW, out)])
+
+
 def cut(buckets: int, groups: int, length: int, keep: bool):
     """A slice and all replies to it to a row per document."""
 
@@ -429,36 +507,31 @@ def cut(buckets: int, groups: int, length: int, keep: bool):
         replies = right.to_pylist()
         for row in left.to_pylist():
             s = Slice(row, length)
-            picked = s.chosen(shared_of(replies), buckets)
-            known, number, group = s.distinct(picked, groups)
-            mask = np.zeros(len(known), np.uint64)
-            by_group = np.argsort(group, kind="stable")
-            ordered = group[by_group]
-            for r in replies:
-                if r["kind"] == 1:
-                    a, b = np.searchsorted(ordered, [np.uint64(r["part"]), np.uint64(r["part"] + 1)])
-                    mask[by_group[a:b]] = np.frombuffer(r["data"], np.uint64)
-            covered = np.zeros(len(s.body) + 1, np.int64)
+            picked = s.chosen(keys_of(replies, SHARED), buckets)
+            contents, number, first, group, hot = s.distinct(picked, groups, keys_of(replies, HOT_KEY), buckets)
+            mask = np.zeros(len(contents), np.uint64)
+            for kind, some in ((ANSWER, np.flatnonzero(~hot)), (HOT_ANSWER, np.flatnonzero(hot))):
+                some = some[np.argsort(group[some], kind="stable")]
+                for r in replies:
+                    if r["kind"] == kind:
+                        a, b = np.searchsorted(group[some], [np.uint64(r["part"]), np.uint64(r["part"] + 1)])
+                        mask[some[a:b]] = np.frombuffer(r["data"], np.uint64)
+            start = end = of = np.zeros(0, np.int64)
             if len(picked):
-                number = np.array(number)
-                first = np.unique(number, return_index=True)[1]
-                doc = s.ids[s.doc[picked]]
                 bits = mask[number]
-                bits[doc > doc[first][number]] = np.uint64(2**64 - 1)  # a document before it in this slice has the same run
+                bits[s.ids[s.doc[picked]] > s.ids[s.doc[first]][number]] = np.uint64(2**64 - 1)  # a document before it in this slice has the same run
                 runs = s.run[picked]
                 j = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
                 hit = (np.repeat(bits, runs) >> j.astype(np.uint64) & np.uint64(1)).astype(bool)
-                at = (np.repeat(s.at[picked], runs) + j)[hit]
-                covered += np.bincount(at, minlength=len(covered)) - np.bincount(at + length, minlength=len(covered))[: len(covered)]
-            gone = np.cumsum(covered)[:-1] > 0
-            for i, a, n in zip(s.ids.tolist(), s.starts.tolist(), s.sizes.tolist()):
-                g = gone[a : a + n]
-                removed = int(g.sum())
-                text = s.body[a : a + n]
-                if removed:
-                    text = np.frombuffer(text, np.uint8)[~g].tobytes()
-                spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-                out.append((i, n, removed, spans, sha256(text).hexdigest(), text if keep else None))
+                at, doc = (np.repeat(s.at[picked], runs) + j)[hit], np.repeat(s.doc[picked], runs)[hit]
+                if len(at):
+                    new = np.flatnonzero(np.append(True, (at[1:] > at[:-1] + length) | (doc[1:] != doc[:-1])))
+                    start, end, of = at[new], at[np.append(new[1:], len(at)) - 1] + length, doc[new]
+            spans = np.searchsorted(of, np.arange(len(s.ids) + 1))
+            for k, (i, a, n) in enumerate(zip(s.ids.tolist(), s.starts.tolist(), s.sizes.tolist())):
+                x, y = start[spans[k] : spans[k + 1]].tolist(), end[spans[k] : spans[k + 1]].tolist()
+                text = b"".join([s.body[u:v] for u, v in zip([a, *y], [*x, a + n])])
+                out.append((i, n, n - len(text), len(x), sha256(text).hexdigest(), text if keep else None))
         return pa.Table.from_batches([batch_of(DOC_ROW, out)])
 
     return run
@@ -475,7 +548,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     copies = materialize(facts.join(materialize(first.select("sha", "first_id"), "first-texts"), "sha").where("doc_id > first_id").drop("first_id"), "copies")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     # Both counts follow the bytes, so buckets and groups keep their size.
-    buckets, groups = max(8, min(1 << 16, total // (24 << 20))), max(8, total // (4 << 20))
+    buckets, groups = max(8, min(1 << 24, total // (24 << 20))), max(8, total // (4 << 20))
+    salts = max(2, total // (SLICE_BYTES * HOT))
 
     # Always dealt by id, small as the copies may be: one way at every size.
     # The hash is part of the key: of rows with one doc_id, some may be copies and others not.
@@ -484,9 +558,12 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     own = dealt.join(known, (F.col("doc_id") == F.col("c")) & (F.col("sha") == F.col("c_sha")), "left_anti").select("doc_id", "text")
     slices = materialize(own.mapInArrow(pack(length), SLICE_SCHEMA), "slices")
     hashes = slices.mapInArrow(hashes_out(buckets, length), "bucket int, slice long, data binary")
-    shared = materialize(hashes.groupBy("bucket").applyInArrow(shared_keys, REPLY_SCHEMA), "shared-keys")
-    sent = slices.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(runs_out(buckets, groups, length), "part int, slice long, runs binary, docs binary, body binary")
-    replies = materialize(sent.groupBy("part").applyInArrow(compare(length), REPLY_SCHEMA), "answers")
+    shared = materialize(hashes.groupBy("bucket").applyInArrow(shared_keys(HOT), REPLY_SCHEMA), "shared-keys")
+    sent = slices.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(runs_out(buckets, groups, salts, length), GROUP_SCHEMA)
+    worked = materialize(sent.groupBy("part", "salt").applyInArrow(compare(length), WORKED_SCHEMA), "answers")
+    parts = worked.where(F.col("kind") == PART).groupBy("part").applyInArrow(compare_parts(length), WORKED_SCHEMA)
+    hot = worked.where(F.col("kind").isin(PART, ROW)).groupBy("part", "salt").cogroup(parts.groupBy("part", "salt")).applyInArrow(pass_on, REPLY_SCHEMA)
+    replies = worked.where(F.col("kind") == ANSWER).select("slice", "kind", "part", F.col("runs").alias("data")).unionByName(materialize(hot, "hot-answers"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     done = slices.groupBy("slice").cogroup(shared.unionByName(replies).groupBy("slice")).applyInArrow(cut(buckets, groups, length, keep), result)
 

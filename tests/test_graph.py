@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracegraph.operators import graph as G, merge as M, recall as R, temporal as T, vectors as V
 from tracegraph.plans import api
 from tracegraph.plans.ingest import note_mutations, session_mutations
-from tracegraph.plans.store import Embedder, EmbedderMismatch, Store
+from tracegraph.operators.embedders import Embedder
+from tracegraph.plans.store import EmbedderMismatch, Store
 from tracegraph.sources import repository, transcripts
 from tracegraph.streaming.ingest import ingest_stream
 
@@ -130,7 +131,7 @@ def test_supersession_redirects(spark):
 
 def test_heads(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("w", "x")], "id string, by string")
-    assert {r["id"]: r["head"] for r in G.supersession_heads(links, most_links=64).collect()} == {"a": "c", "b": "c", "x": None, "y": None, "w": None}
+    assert {r["id"]: r["head"] for r in G.supersession_heads(links).collect()} == {"a": "c", "b": "c", "x": None, "y": None, "w": None}
     assert G.supersession_heads(links.limit(0)).count() == 0
 
 

@@ -42,15 +42,16 @@ def superseded_by(edges: DataFrame) -> DataFrame:
     return s.groupBy(F.col("to").alias("id")).agg(F.max(F.struct("seq", "from"))["from"].alias("by"))
 
 
-def supersession_heads(links: DataFrame, most_links: int = 1 << 16) -> DataFrame:
+def supersession_heads(links: DataFrame) -> DataFrame:
     """``id, head``: the end of each chain of ``id, by``; null on or before a cycle.
 
     Pointer doubling: r rounds resolve chains of 2**r links, so a chain that
-    still moves after ``most_links`` is a cycle.  Each node is in one chain, and
-    a round is one join; rounds end when nothing moves.
+    still moves after as many links as there are is a cycle.  Each node is in
+    one chain, and a round is one join; rounds end when nothing moves.
     """
     jump = checkpointed(links.select("id", F.col("by").alias("head")))
-    if jump.isEmpty():
+    most_links = jump.count()
+    if not most_links:
         return jump
     reached = 1
     while True:

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _base(spark: SparkSession) -> str:
     sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracegraph-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tracegraph-"))
+    return base or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` read from the session's checkpoint folder; a local folder is set only where none is."""
+    """``df`` read from the session's checkpoint folder; a folder of its own is set only in a local session without one."""
     _base(df.sparkSession)
     return df.checkpoint()
 
@@ -24,3 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's checkpoint folder."""
     return f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files have fewer splits than that; for scans before heavy expressions.
+
+    Tables of many splits, as large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -39,9 +39,11 @@ def merge_nodes(records: DataFrame) -> DataFrame:
 
 
 def merge_edges(records: DataFrame) -> DataFrame:
-    """The first of each (from, to, kind)."""
-    e = records.groupBy("from", "to", "kind").agg(F.min(F.struct("seq", "weight")).alias("x"))
-    return e.select("from", "to", "kind", F.col("x.weight").alias("weight"), F.expr("cast(map() AS map<string,string>)").alias("attrs"), F.col("x.seq").alias("seq"))
+    """The first of each (from, to, kind), whole."""
+    own = F.array_sort(F.map_entries("attrs")) if "attrs" in records.columns else F.lit(None).cast("array<struct<key:string,value:string>>")
+    e = records.groupBy("from", "to", "kind").agg(F.min(F.struct("seq", "weight", own.alias("attrs"))).alias("x"))
+    attrs = F.coalesce(F.map_from_entries("x.attrs"), F.expr("cast(map() AS map<string,string>)"))
+    return e.select("from", "to", "kind", F.col("x.weight").alias("weight"), attrs.alias("attrs"), F.col("x.seq").alias("seq"))
 
 
 def merge_vectors(records: DataFrame) -> DataFrame:
@@ -57,4 +59,13 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """``id, degree``: incident edges, a loop counted once."""
-    return edges.select(F.explode(F.array_distinct(F.array("from", "to"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return _ends(edges).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def degrees_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``degrees`` of the nodes ``ids(id)`` only: before anything is counted, the other ends are dropped."""
+    return _ends(edges).join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array_distinct(F.array("from", "to"))).alias("id"))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegraph.functions.text import SEMANTIC_KINDS, centrality, display_kind, evidence_text, kind_weight, let, recency, tokens
+from tracegraph.operators.embedders import Embedder, query_tokens
 from tracegraph.operators.graph import superseded_by, supersession_heads
 from tracegraph.operators.lineage import checkpointed
-from tracegraph.operators.merge import degrees
-from tracegraph.operators.vectors import BUCKETS, top_k
+from tracegraph.operators.merge import degrees_of
+from tracegraph.operators.vectors import top_k
 
 SEEDS = 3
 FLOOR = 0.01
@@ -24,25 +23,13 @@ STAGES = ("semantic", "graph", "lexical")
 
 @dataclass
 class Graph:
-    """Merged tables of a store."""
+    """Merged tables of a store, the embedder of its vectors, and where a snapshot holds them, supersession heads."""
 
     nodes: DataFrame
     edges: DataFrame
     vectors: DataFrame
-
-
-def query_tokens(query: str) -> list[str]:
-    return [t for t in re.split(r"[\W_]+", query.lower()) if len(t.encode()) > 1]
-
-
-def query_vector(query: str) -> list[float]:
-    """The hash embedding of a query, computed as ``hash_embedding`` does for texts."""
-    v = [0.0] * BUCKETS
-    for t in query_tokens(query):
-        h = hashlib.sha256(t.encode()).digest()
-        v[h[0]] += 1.0 if h[4] & 1 else -1.0
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+    embedder: Embedder = field(default_factory=Embedder)
+    heads: DataFrame | None = None
 
 
 def bump(candidates: DataFrame) -> DataFrame:
@@ -79,17 +66,22 @@ def weighted(base: Column) -> Column:
 
 
 def hybrid(g: Graph, query: str, k: int, now_ms: int) -> DataFrame:
-    """``id, score, why`` of the vector, graph and label stages."""
-    deg = degrees(g.edges)
-    nodes = g.nodes.select("id", "kind", "label", recency(now_ms, F.col("last_updated_ms")).alias("recency")).join(deg, "id", "left")
-    pool = top_k(g.vectors, query_vector(query), max(40 * k, 256)).withColumnRenamed("score", "cos").where(F.col("cos") > FLOOR)
-    semantic = pool.join(nodes, "id").where(F.col("kind").isin(*SEMANTIC_KINDS)).select("id", weighted(0.7 * F.col("cos") + 0.15 * F.col("recency")).alias("score"), F.lit(0).alias("stage"))
+    """``id, score, why`` of the vector, graph and label stages.
+
+    Only candidates meet nodes and degrees: the pool and the neighbours of three
+    seeds are small sides.  Labels match kinds whose degree doesn't count.
+    """
+    nodes = g.nodes.select("id", "kind", "label", recency(now_ms, F.col("last_updated_ms")).alias("recency"))
+    pool = top_k(g.vectors, g.embedder.query_vector(query), max(40 * k, 256)).withColumnRenamed("score", "cos").where(F.col("cos") > FLOOR)
+    # Written once: degrees, seeds and scores all start from these few rows.
+    pool = checkpointed(pool.join(nodes, "id").where(F.col("kind").isin(*SEMANTIC_KINDS)))
+    semantic = checkpointed(pool.join(degrees_of(g.edges, pool), "id", "left").select("id", weighted(0.7 * F.col("cos") + 0.15 * F.col("recency")).alias("score"), F.lit(0).alias("stage")))
     seeds = semantic.orderBy(F.desc("score"), "id").limit(SEEDS).select(F.col("id").alias("seed"), F.col("score").alias("seed_score"))
     both = g.edges.select(F.col("from").alias("seed"), F.col("to").alias("id")).union(g.edges.select("to", "from"))
-    near = both.join(seeds, "seed").where("id <> seed").select("id", "seed", "seed_score").distinct()
-    graph = near.join(nodes, "id").select("id", weighted(0.35 * F.col("seed_score") + 0.15 * F.col("recency")).alias("score"), F.lit(1).alias("stage"))
+    near = checkpointed(both.join(seeds, "seed").where("id <> seed").select("id", "seed", "seed_score").distinct())
+    graph = near.join(nodes, "id").join(degrees_of(g.edges, near), "id", "left").select("id", weighted(0.35 * F.col("seed_score") + 0.15 * F.col("recency")).alias("score"), F.lit(1).alias("stage"))
     words = query_tokens(query)
-    labelled = F.lit(False)
+    labelled, nodes = F.lit(False), nodes.withColumn("degree", F.lit(0))
     for w in words:
         labelled = labelled | F.contains(F.lower("label"), F.lit(w))
     lexical = nodes.where(~F.col("kind").isin(*SEMANTIC_KINDS) & labelled).select("id", weighted(0.6 + 0.1 * F.col("recency")).alias("score"), F.lit(2).alias("stage"))
@@ -98,7 +90,7 @@ def hybrid(g: Graph, query: str, k: int, now_ms: int) -> DataFrame:
 
 def finalize(g: Graph, scored: DataFrame, k: int) -> DataFrame:
     """Hits led on to what superseded them, the best k with their evidence."""
-    heads = supersession_heads(superseded_by(g.edges)).withColumnRenamed("id", "old").where("head IS NOT NULL")
+    heads = (supersession_heads(superseded_by(g.edges)) if g.heads is None else g.heads).withColumnRenamed("id", "old").where("head IS NOT NULL")
     led = scored.join(heads, F.col("id") == F.col("old"), "left").select(F.coalesce("head", "id").alias("id"), "score", F.when(F.col("head").isNotNull(), F.lit("supersedes")).otherwise(F.col("why")).alias("why"))
     best = led.groupBy("id").agg(F.max(F.struct("score", (F.col("why") != "supersedes").alias("own"), "why")).alias("x")).select("id", F.col("x.score").alias("score"), F.col("x.why").alias("why"))
     # Evidence is looked up for the k winners only.
@@ -116,8 +108,8 @@ def recall(g: Graph, query: str, k: int = 12, now_ms: int = 0) -> tuple[DataFram
         terms = query_tokens(query)
         docs = g.nodes.select("id", F.concat_ws(" ", "label", "body").alias("text"))
         plain = bm25(docs, terms) if terms else docs.select("id", F.lit(0.0).alias("score")).limit(0)
-        info = g.nodes.select("id", "kind").join(degrees(g.edges), "id", "left")
-        scored = plain.join(info, "id").select("id", weighted(F.col("score")).alias("score"), F.lit("lexical").alias("why"))
+        plain = plain.join(g.nodes.select("id", "kind"), "id")
+        scored = plain.join(degrees_of(g.edges, plain.where(F.col("kind").isin("decision", "implementation"))), "id", "left").select("id", weighted(F.col("score")).alias("score"), F.lit("lexical").alias("why"))
     return finalize(g, scored, k), degraded
 
 

@@ -50,56 +50,87 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", dot(F.col("vec"), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """``query, id, score, rank``: the k best for each of a batch of queries (``query, vec``).
+def _block(vec) -> "np.ndarray":  # noqa: F821
+    """An Arrow column of equally long arrays as a matrix; nulls and other lengths are rows of NaN."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    Queries are packed into blocks, each scored by one matrix product against a
-    batch of vectors; a task keeps the k best of its part for each query, so
-    k rows for each query and task are shuffled.  The packed queries are
-    broadcast; that is refused beyond 64 MB.
-    """
+    n = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+    width = int(np.nanmax(n)) if len(n) and not np.isnan(n).all() else 0
+    if width and (n == width).all():
+        flat = vec.flatten().to_numpy(zero_copy_only=False)
+        return flat.astype(float).reshape(-1, width)
+    return np.array([x if x is not None and len(x) == width else [np.nan] * width for x in vec.to_pylist()], float).reshape(-1, width)
+
+
+def _best(q, names, v, ids, k: int) -> tuple:
+    """``query, id, score`` of the k best of a block of vectors for each query of a block; ties to the smaller id."""
     import numpy as np
 
-    rows = queries.select("query", "vec").limit(200_001).collect()
-    if len(rows) > 200_000 or sum(len(r["vec"]) for r in rows) * 8 > 64 << 20:
-        raise ValueError("too many queries for one batch")
-    names = [r["query"] for r in rows]
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in rows], dtype=float))
-    kind = queries.schema["query"].dataType.simpleString()
-    id_kind = vectors.schema["id"].dataType.simpleString()
+    if not len(q) or not len(v) or q.shape[1] != v.shape[1]:
+        return names[:0], ids[:0], np.zeros(0)
+    s = np.nan_to_num(q @ v.T, nan=-np.inf)
+    m = min(k, len(v))
+    rows, cols = np.nonzero((s >= np.partition(s, len(v) - m, axis=1)[:, len(v) - m, None]) & (s > -np.inf))
+    order = np.lexsort((ids[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+    rows, cols = rows[keep], cols[keep]
+    return names[rows], ids[cols], s[rows, cols]
 
-    def score(batches):
-        import pandas as pd
-
-        q = matrix.value
-        best: dict[int, tuple] = {}
-        for pdf in batches:
-            if not len(pdf) or not len(q):
-                continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(float)
-            ids = pdf["id"].to_numpy()
-            for at in range(0, len(q), block):
-                s = q[at : at + block] @ v.T
-                for i, row in enumerate(s):
-                    if len(row) > k:
-                        take = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                    else:
-                        take = np.arange(len(row))
-                    old = best.get(at + i, (ids[:0], row[:0]))
-                    best[at + i] = _keep(np.concatenate((old[0], ids[take])), np.concatenate((old[1], row[take])), k)
-        for i, (x, s) in best.items():
-            yield pd.DataFrame({"query": [names[i]] * len(x), "id": x, "score": s})
-
-    found = vectors.select("id", "vec").mapInPandas(score, f"query {kind}, id {id_kind}, score double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
+#: Vectors and queries in a block.
+VECTORS, QUERIES = 8_192, 2_048
 
-def _keep(ids, scores, k: int):
-    import numpy as np
 
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query, id, score, rank``: the k best for each of any number of queries (``query, vec``).
+
+    Both sides are packed into blocks, a row each; a block of vectors and one of
+    queries meet by their numbers, in one matrix product, and send k rows for
+    each query.  Queries travel once for each block of vectors, vectors once for
+    each block of queries; Spark broadcasts the queries if their size allows.
+    Vectors and queries of different lengths, nulls and NaN have no score.
+    """
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    kind, id_kind = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    n_q, n_v = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // VECTORS))
+
+    def pack(size: int):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+        return run
+
+    out = f"query {kind}, id {id_kind}, score double"
+    arrow = spark.createDataFrame([], out).schema
+
+    def score(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(arrow)
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, v = (pa.ipc.open_stream(r[x]).read_all().combine_chunks() for x in ("queries", "vectors"))
+                names, ids = (x.column(0).to_numpy() for x in (q, v))
+                got = _best(_block(q["vec"].combine_chunks()), names, _block(v["vec"].combine_chunks()), ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, types)], schema=types)
+
+    number = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+    q = queries.select("query", "vec").mapInArrow(pack(QUERIES), "block binary").select(number(n_q).alias("q"), F.col("block").alias("queries"))
+    v = vectors.select("id", "vec").mapInArrow(pack(VECTORS), "block binary").select(number(n_v).alias("v"), F.col("block").alias("vectors"))
+    pairs = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))), ["q", "v"])
+    found = pairs.select("queries", "vectors").mapInArrow(score, out)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def approximate_top_k(vectors: DataFrame, query: list[float], k: int, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:

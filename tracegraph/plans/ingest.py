@@ -16,10 +16,10 @@ from tracegraph.functions.manifests import dependencies
 from tracegraph.functions.redact import redact
 from tracegraph.functions.symbols import symbols
 from tracegraph.functions.text import UNIT, basename, content_hash, file_identity, is_low_value, node_id, relative_path, summarize
+from tracegraph.operators.embedders import Embedder
 from tracegraph.operators.lineage import checkpointed
 from tracegraph.operators.merge import EDGE, NODE, PROVENANCE, VECTOR
 from tracegraph.operators.temporal import as_of, supersessions
-from tracegraph.operators.vectors import hash_embedding
 
 #: Places in a sequence number: batch, then position in a session, then record class.
 BATCH, CLASSES = 1 << 40, 16
@@ -54,23 +54,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _vectors(df: DataFrame, node: Column, text: Column, seq: Column) -> DataFrame:
-    return df.where(F.trim(text) != "").select(node.alias("id"), hash_embedding(text).alias("vec"), seq)
+def _texts(df: DataFrame, node: Column, text: Column, seq: Column) -> DataFrame:
+    return df.select(node.alias("id"), text.alias("text"), seq)
 
 
 def stamp_commits(sessions: DataFrame, turns: DataFrame, commits: DataFrame, root: str) -> DataFrame:
     """Sessions without a commit that ran in the work tree of ``root`` get the commit of their time."""
-    from tracegraph.sources.repository import same_tree
+    from tracegraph.sources.repository import in_tree, nested_repositories
 
-    folders = [r["repo_root"] for r in sessions.where("commit IS NULL AND repo_root IS NOT NULL").select("repo_root").distinct().limit(100_000).collect()]
-    mine = [f for f in folders if same_tree(f, root)]
+    mine = in_tree(F.col("repo_root"), root, nested_repositories(root))
     first_turn = turns.groupBy("path").agg(F.min(F.when(F.col("ts_ms").isNotNull(), F.struct("pos", "ts_ms")))["ts_ms"].alias("turn_ts"))
     s = sessions.join(first_turn, "path", "left").withColumn("at", F.coalesce("started_at_ms", "turn_ts"))
     found = as_of(s, commits, "at", "time_ms", "oid", out="stamp")
-    return found.withColumn("commit", F.when(F.col("commit").isNull() & F.col("repo_root").isin(*mine), F.col("stamp")).otherwise(F.col("commit"))).select(*sessions.columns)
+    return found.withColumn("commit", F.when(F.col("commit").isNull() & mine, F.col("stamp")).otherwise(F.col("commit"))).select(*sessions.columns)
 
 
-def session_mutations(sessions: DataFrame, turns: DataFrame, now_ms: int, batch: int = 1, candidates: DataFrame | None = None) -> Mutations:
+def session_mutations(sessions: DataFrame, turns: DataFrame, now_ms: int, batch: int = 1, candidates: DataFrame | None = None, embedder: Embedder | None = None) -> Mutations:
     """All nodes, edges and vectors of sessions.
 
     ``sessions`` has ``path, agent, native_session_id, repo_root, connector_version,
@@ -135,13 +134,13 @@ def session_mutations(sessions: DataFrame, turns: DataFrame, now_ms: int, batch:
         found.select(*_edge(decision_id, session_id, "decided_in", _seq(batch, pos, 4))),
         made.select(*_edge(decision_id, node_id("file", file_of), "produced", _seq(batch, pos, 5))),
     ])
-    vectors = _union([
-        _vectors(s, session_id, F.col("intro"), _seq(batch, zero, 0)), _vectors(chat, turn_id, F.col("text"), _seq(batch, pos, 2)), _vectors(found, decision_id, F.col("decision"), _seq(batch, pos, 4)),
+    texts = _union([
+        _texts(s, session_id, F.col("intro"), _seq(batch, zero, 0)), _texts(chat, turn_id, F.col("text"), _seq(batch, pos, 2)), _texts(found, decision_id, F.col("decision"), _seq(batch, pos, 4)),
     ])
-    return Mutations(nodes, edges, vectors)
+    return Mutations(nodes, edges, (embedder or Embedder()).vectors(texts, "seq"))
 
 
-def repository_mutations(files: DataFrame, root: str, now_ms: int, commits: DataFrame | None = None, batch: int = 1, prefix: str = "") -> Mutations:
+def repository_mutations(files: DataFrame, root: str, now_ms: int, commits: DataFrame | None = None, batch: int = 1, prefix: str = "", embedder: Embedder | None = None) -> Mutations:
     """All nodes, edges and vectors of a source tree ``files(path, content, n_bytes)`` and its history.
 
     ``prefix`` is the folder of ``root`` within its work tree, cut from changed paths.
@@ -170,7 +169,7 @@ def repository_mutations(files: DataFrame, root: str, now_ms: int, commits: Data
     nodes.append(each.select(*_node("symbol", symbol_of, F.col("sym.name"), now, _seq(batch, zero, 3), attrs=F.create_map(F.lit("kind"), F.col("sym.kind"), F.lit("file"), F.col("rel")))))
     edges.append(each.select(*_edge(file_id, symbol_id, "defines", _seq(batch, zero, 3))))
     described = F.concat("rel", F.lit(" "), F.array_join(F.transform("symbols", lambda x: x["name"]), " "))
-    vectors = [_vectors(known, file_id, described, _seq(batch, zero, 2)), _vectors(each, symbol_id, F.col("sym.name"), _seq(batch, zero, 3))]
+    texts = [_texts(known, file_id, described, _seq(batch, zero, 2)), _texts(each, symbol_id, F.col("sym.name"), _seq(batch, zero, 3))]
 
     if commits is not None:
         prov = F.struct(
@@ -186,10 +185,10 @@ def repository_mutations(files: DataFrame, root: str, now_ms: int, commits: Data
         changed = changed.join(files.select(F.col("path").alias("rel")), "rel", "left_semi")
         nodes.append(changed.select(*_node("file", file_of, basename(F.col("rel")), now, _seq(batch, zero, 5), attrs=path_attr)))
         edges.append(changed.select(*_edge(file_id, node_id("commit", F.col("oid")), "changed_by", _seq(batch, zero, 5))))
-    return Mutations(_union(nodes), _union(edges), _union(vectors))
+    return Mutations(_union(nodes), _union(edges), (embedder or Embedder()).vectors(_union(texts), "seq"))
 
 
-def note_mutations(spark: SparkSession, text: str, topic: str | None, now_ms: int, batch: int = 1) -> Mutations:
+def note_mutations(spark: SparkSession, text: str, topic: str | None, now_ms: int, batch: int = 1, embedder: Embedder | None = None) -> Mutations:
     """A manual note as a decision; noting it again changes nothing."""
     if not text.strip():
         raise ValueError("a note needs text")
@@ -201,7 +200,8 @@ def note_mutations(spark: SparkSession, text: str, topic: str | None, now_ms: in
     )
     seq = _seq(batch, F.lit(0), 0)
     nodes = n.select(*_node("decision", identity, F.substring("text", 1, 80), F.lit(now_ms), seq, F.col("text"), summarize(F.col("text")), prov, F.create_map(F.lit("scope"), F.col("scope"))))
-    return Mutations(nodes, spark.createDataFrame([], EDGE), _vectors(n, node_id("decision", identity), F.col("text"), seq))
+    texts = _texts(n, node_id("decision", identity), F.col("text"), seq)
+    return Mutations(nodes, spark.createDataFrame([], EDGE), (embedder or Embedder()).vectors(texts, "seq"))
 
 
 def supersession_mutations(nodes: DataFrame, batch: int) -> Mutations:

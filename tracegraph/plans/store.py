@@ -2,12 +2,13 @@
 
 Layout below a folder that all executors share (any file system of Spark)::
 
-    snap/v=<n>/{nodes,edges,vectors}   merged tables; nodes are partitioned by kind
+    snap/v=<n>/{nodes,edges,vectors,heads}  merged tables; nodes are partitioned by kind
     wal/batch=<n>/{nodes,edges,vectors}, wal/batch=<n>/_DONE
-    _CURRENT                            JSON: snapshot version, last batch folded, embedder
+    names/<name>                        number of the batch that a stream's own name stands for
+    _CURRENT                            JSON: snapshot version, last batch folded, embedder, and batches before it that were not complete
 
 A batch counts once its ``_DONE`` is written, after all its tables: a torn batch
-is never read.  A checkpoint writes a whole new snapshot, then moves ``_CURRENT``
+is never read, and may be completed after a checkpoint.  Without batches since, a snapshot is read as it is.  A checkpoint writes a whole new snapshot, then moves ``_CURRENT``
 by a rename, then deletes what the snapshot before it had folded; a crash
 between leaves the old state readable, and open readers keep theirs.  ``_CURRENT`` also says which embedder the vectors are from.
 """
@@ -15,10 +16,11 @@ between leaves the old state readable, and open readers keep theirs.  ``_CURRENT
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tracegraph.operators.embedders import Embedder
+from tracegraph.operators.graph import superseded_by, supersession_heads
 from tracegraph.operators.merge import EDGE, NODE, VECTOR, merge_edges, merge_nodes, merge_vectors, with_endpoints
 from tracegraph.operators.recall import Graph
 from tracegraph.plans.ingest import Mutations, note_mutations, supersession_mutations
@@ -30,12 +32,6 @@ class EmbedderMismatch(RuntimeError):
     """The store's vectors come from another embedder."""
 
 
-@dataclass
-class Embedder:
-    id: str = "hash-v1"
-    dim: int = 256
-
-
 class Files:
     """The few file operations of a store, through Hadoop's file system API."""
 
@@ -50,6 +46,10 @@ class Files:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def make(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.mkdirs(p)
+
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -94,22 +94,35 @@ class Store:
 
     def _meta(self) -> dict:
         text = self.files.read(f"{self.path}/_CURRENT")
-        return json.loads(text) if text else {"version": 0, "folded": 0, "embedder": None}
+        return {"version": 0, "folded": 0, "embedder": None, "open": []} | (json.loads(text) if text else {})
 
     def batches(self) -> list[int]:
         """Complete batches that no snapshot holds yet."""
-        folded = self._meta()["folded"]
+        return [i for i in self._unfolded() if self.files.exists(f"{self.path}/wal/batch={i}/_DONE")]
+
+    def _unfolded(self) -> list[int]:
+        meta = self._meta()
         ids = [int(n[6:]) for n in self.files.names(f"{self.path}/wal") if n.startswith("batch=")]
-        return sorted(i for i in ids if i > folded and self.files.exists(f"{self.path}/wal/batch={i}/_DONE"))
+        return sorted(i for i in ids if i > meta["folded"] or i in meta["open"])
 
     def next_batch(self) -> int:
         ids = [int(n[6:]) for n in self.files.names(f"{self.path}/wal") if n.startswith("batch=")]
         return max([self._meta()["folded"], *ids]) + 1
 
+    def batch_named(self, name: str) -> int:
+        """The batch that ``name`` stands for, now and after any restart; its number is taken before it is told."""
+        at = f"{self.path}/names/{name}"
+        if number := self.files.read(at):
+            return int(number)
+        batch = self.next_batch()
+        self.files.make(f"{self.path}/wal/batch={batch}")
+        self.files.write(at, str(batch))
+        return batch
+
     def append(self, m: Mutations, batch: int) -> int:
-        """One durable batch; returns how many records it has (none: nothing is written)."""
-        at = f"{self.path}/wal/batch={batch}"
-        if self.files.exists(f"{at}/_DONE"):
+        """One durable batch; returns how many records it has (none, or a batch that is complete: nothing is written)."""
+        at, meta = f"{self.path}/wal/batch={batch}", self._meta()
+        if self.files.exists(f"{at}/_DONE") or batch <= meta["folded"] and batch not in meta["open"]:
             return 0
         for name in TABLES:
             getattr(m, name).write.mode("overwrite").parquet(f"{at}/{name}")
@@ -137,12 +150,18 @@ class Store:
 
     def graph(self) -> Graph:
         """Snapshot and batches, merged; edges without both ends are left out."""
+        version = self._meta()["version"]
+        if version and not self.batches():
+            at = f"{self.path}/snap/v={version}"
+            tables = [self.spark.read.schema(s).parquet(f"{at}/{name}") for name, s in TABLES.items()]
+            heads = self.spark.read.schema("id string, head string").parquet(f"{at}/heads") if self.files.exists(f"{at}/heads") else None
+            return Graph(*tables, self.embedder, heads)
         nodes = merge_nodes(self._records("nodes"))
-        return Graph(nodes, with_endpoints(merge_edges(self._records("edges")), nodes), merge_vectors(self._records("vectors")))
+        return Graph(nodes, with_endpoints(merge_edges(self._records("edges")), nodes), merge_vectors(self._records("vectors")), self.embedder)
 
     def checkpoint(self) -> int:
         """A new snapshot of all there is; returns its version."""
-        meta, done = self._meta(), self.batches()
+        meta, done, open_ = self._meta(), self.batches(), self._unfolded()
         version = meta["version"] + 1
         at = f"{self.path}/snap/v={version}"
         self.files.delete(at)
@@ -150,10 +169,14 @@ class Store:
         g.nodes.repartition("kind", "id").write.partitionBy("kind").parquet(f"{at}/nodes")
         g.edges.write.parquet(f"{at}/edges")
         g.vectors.write.parquet(f"{at}/vectors")
-        self.files.write(f"{self.path}/_CURRENT", json.dumps({"version": version, "folded": max([meta["folded"], *done]), "embedder": meta["embedder"]}))
+        edges = self.spark.read.schema(EDGE).parquet(f"{at}/edges")
+        supersession_heads(superseded_by(edges)).write.parquet(f"{at}/heads")
+        folded = max([meta["folded"], *done])
+        late = [i for i in open_ if i not in done and i < folded]
+        self.files.write(f"{self.path}/_CURRENT", json.dumps({"version": version, "folded": folded, "embedder": meta["embedder"], "open": late}))
         # What this snapshot replaces stays until the next one, for readers that have it open.
         for n in self.files.names(f"{self.path}/wal"):
-            if n.startswith("batch=") and int(n[6:]) <= meta["folded"]:
+            if n.startswith("batch=") and int(n[6:]) <= meta["folded"] and int(n[6:]) not in meta["open"]:
                 self.files.delete(f"{self.path}/wal/{n}")
         for n in self.files.names(f"{self.path}/snap"):
             if int(n[2:]) < meta["version"]:
@@ -162,7 +185,7 @@ class Store:
 
     def note(self, text: str, topic: str | None, now_ms: int) -> int:
         batch = self.next_batch()
-        return self.append(note_mutations(self.spark, text, topic, now_ms, batch), batch)
+        return self.append(note_mutations(self.spark, text, topic, now_ms, batch, self.embedder), batch)
 
     def detect_supersessions(self) -> int:
         """New supersession edges as one batch; returns their number."""

@@ -6,7 +6,7 @@ import hashlib
 import os
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fixed names: folders and files that a walk prunes.
 SKIPPED = (".git", "target", "node_modules", "dist", "build", ".venv", "vendor")
@@ -14,12 +14,17 @@ GRAPH_COMMITS, TIMELINE_COMMITS = 400, 1000
 COMMIT_SCHEMA = "oid string, short string, summary string, author string, time_ms bigint, changed array<string>"
 
 
+def is_skipped(rel: Column) -> Column:
+    """Whether a relative path lies in, or is, one of the skipped names."""
+    return F.arrays_overlap(F.split(rel, "/"), F.array(*map(F.lit, SKIPPED)))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, content, n_bytes`` of every file below ``root`` outside skipped folders; ``path`` is relative."""
     base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = F.regexp_replace(F.substring_index(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), base.split("://")[-1] + "/", -1), r"^/+", "")
-    kept = files.withColumn("rel", rel).where(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, SKIPPED))))
+    kept = files.withColumn("rel", rel).where(~is_skipped(F.col("rel")))
     return kept.select(F.col("rel").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("n_bytes"))
 
 
@@ -67,6 +72,28 @@ def same_tree(cwd: str, root: str) -> bool:
     return True
 
 
+def nested_repositories(root: str) -> list[str]:
+    """Folders below ``root`` that are repositories of their own, relative to it; what lies in them is not looked at."""
+    out = []
+    for top, dirs, names in os.walk(root):
+        if top != root and (".git" in dirs or ".git" in names):
+            out.append(os.path.relpath(top, root))
+            dirs.clear()
+        dirs[:] = [d for d in dirs if d != ".git"]
+    return sorted(out)
+
+
+def in_tree(cwd: Column, root: str, nested: list[str]) -> Column:
+    """``same_tree`` as an expression: ``cwd`` is ``root``, by either of its names, or below it and in none of ``nested``."""
+    path = F.regexp_replace(cwd, r"/+$", "")
+    found = F.lit(False)
+    for top in {os.path.abspath(root), os.path.realpath(root)}:
+        below = F.substr(path, F.lit(len(top) + 2))
+        inner = F.exists(F.array(*map(F.lit, nested)), lambda n: (below == n) | F.startswith(below, F.concat(n, F.lit("/")))) if nested else F.lit(False)
+        found = found | (path == top) | (F.startswith(path, F.lit(top + "/")) & ~inner)
+    return F.coalesce(found, F.lit(False))
+
+
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``token, vec`` of a text file of word vectors.
 

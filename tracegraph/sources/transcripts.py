@@ -9,6 +9,7 @@ session's first values.  Text is redacted as it is read.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from tracegraph.functions.redact import redact
 from tracegraph.functions.text import commit_sha, let, rfc3339_ms
 
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-PATH_DEPTH = 4
 
 
 def get(v: str | Column, path: str, kind: str = "string") -> Column:
@@ -37,14 +37,29 @@ def _texts(content: str, types: tuple[str, ...]) -> Column:
     return F.coalesce(F.array_join(parts, "\n"), F.when(F.schema_of_variant(F.try_variant_get("v", content, "variant")) == "STRING", get("v", content)))
 
 
-def _paths(v: Column, keys: tuple[str, ...], nested: tuple[str, ...], depth: int = PATH_DEPTH) -> Column:
-    """Paths under ``keys`` of an object, of its ``nested`` objects and its ``edits``, to a bounded depth."""
-    own = F.array(*[F.try_variant_get(v, f"$.{k}", "string") for k in keys])
-    if depth == 0:
-        return own
-    deeper = [_paths(F.try_variant_get(v, f"$.{n}", "variant"), keys, nested, depth - 1) for n in nested]
-    edits = F.flatten(F.transform(F.try_variant_get(v, "$.edits", "array<variant>"), lambda e: _paths(e, keys, (), min(depth, 2) - 1)))
-    return F.concat(own, *deeper, F.coalesce(edits, F.array().cast("array<string>")))
+def _paths(v: Column, keys: tuple[str, ...], nested: tuple[str, ...]) -> Column:
+    """Paths under ``keys`` of an object, of its ``nested`` objects and its ``edits``, however deep.
+
+    A list of paths found and objects left is rewritten in place, each object to
+    its own paths and the objects in it, as often as the text has keys to follow.
+    """
+    item = "struct<p:string,v:variant>"
+    found = lambda p: F.struct(p.alias("p"), F.lit(None).cast("variant").alias("v"))
+    left = lambda v: F.struct(F.lit(None).cast("string").alias("p"), v.alias("v"))
+
+    def within(v: Column) -> Column:
+        own = [found(F.try_variant_get(v, f"$.{k}", "string")) for k in keys]
+        deeper = [left(F.try_variant_get(v, f"$.{n}", "variant")) for n in nested]
+        edits = F.transform(F.try_variant_get(v, "$.edits", "array<variant>"), left)
+        return F.concat(F.array(*own, *deeper), F.coalesce(edits, F.array().cast(f"array<{item}>")))
+
+    def step(items: Column) -> Column:
+        opened = F.flatten(F.transform(items, lambda x: F.when(x["v"].isNull(), F.array(x)).otherwise(within(x["v"]))))
+        return F.filter(opened, lambda x: x["p"].isNotNull() | x["v"].isNotNull())
+
+    times = F.regexp_count(F.to_json(v), F.lit(r'"(?:' + "|".join((*nested, "edits")) + r')"\s*:')) + 1
+    all_ = F.aggregate(F.sequence(F.lit(1), times), F.array(left(v)), lambda items, _: step(items))
+    return F.transform(F.filter(all_, lambda x: x["p"].isNotNull()), lambda x: x["p"])
 
 
 def _distinct(paths: Column) -> Column:
@@ -68,14 +83,38 @@ class Connector:
         return find_files(root, self.glob, self.depth)
 
 
+def is_transcript(rel: Column, glob: str = "*.jsonl", depth: int | None = None) -> Column:
+    """Whether a relative path names a transcript: its last part fits ``glob``, and it has ``depth`` parts at most."""
+    name = F.rlike(F.element_at(F.split(rel, "/"), -1), F.lit("^" + "[^/]*".join(map(re.escape, glob.split("*"))) + "$"))
+    return name if depth is None else name & (F.size(F.split(rel, "/")) <= depth)
+
+
 def find_files(root: str, glob: str = "*.jsonl", depth: int | None = None) -> list[str]:
-    from fnmatch import fnmatch
+    """Local files below ``root`` that ``is_transcript`` holds of, sorted."""
+    from fnmatch import fnmatchcase
 
     out = []
     for top, dirs, names in os.walk(root):
-        if depth is not None and len(os.path.relpath(top, root).split(os.sep)) + (top != root) > depth:
+        parts = 0 if top == root else len(os.path.relpath(top, root).split(os.sep))
+        if depth is not None and parts + 1 >= depth:
             dirs.clear()
-        out += [os.path.join(top, n) for n in names if fnmatch(n, glob)]
+        out += [os.path.join(top, n) for n in names if fnmatchcase(n, glob)]
+    return sorted(out)
+
+
+def find_remote(spark: SparkSession, path: str) -> list[str]:
+    """``path`` itself if it is a file, else all .jsonl files below it, on any file system of Spark; sorted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isFile():
+        return [path]
+    found, out = fs.listFiles(at, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".jsonl"):
+            out.append(name)
     return sorted(out)
 
 
@@ -125,10 +164,15 @@ CONNECTORS = {
 }
 
 
-def resolve(connector: Connector, path: str | None = None) -> list[str]:
-    """A file is itself, a folder all its .jsonl files, no path what is discovered; a missing path is an error."""
+def resolve(connector: Connector, path: str | None = None, spark: SparkSession | None = None) -> list[str]:
+    """A file is itself, a folder all its .jsonl files, no path what is discovered; a missing path is an error.
+
+    With a session, paths with a scheme are looked up in their file system.
+    """
     if path is None:
         return connector.discover()
+    if spark is not None and "://" in path:
+        return find_remote(spark, path)
     if os.path.isfile(path):
         return [path]
     if not os.path.isdir(path):
@@ -162,7 +206,7 @@ def sessions_of(turns: DataFrame, connector: Connector) -> DataFrame:
 def read_sessions(spark: SparkSession, connector_id: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sessions and turns of a connector's files."""
     connector = CONNECTORS[connector_id]
-    paths = resolve(connector, path)
+    paths = resolve(connector, path, spark)
     lines = read_lines(spark, paths) if paths else spark.createDataFrame([], "path string, pos int, line string")
     turns = parse_lines(lines, connector)
     return sessions_of(turns, connector), turns
@@ -171,7 +215,7 @@ def read_sessions(spark: SparkSession, connector_id: str, path: str | None = Non
 def doctor(spark: SparkSession, connector_id: str, path: str | None = None) -> dict:
     """What a connector finds: files, the first ten of them, and lines that are broken or of unknown kind."""
     connector = CONNECTORS[connector_id]
-    paths = resolve(connector, path)
+    paths = resolve(connector, path, spark)
     if not paths:
         return {"files": 0, "first": [], "lines": 0, "broken": 0, "unknown": 0}
     lines = read_lines(spark, paths).where(F.trim("line") != "")

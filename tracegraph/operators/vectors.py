@@ -142,3 +142,22 @@ def approximate_top_k(vectors: DataFrame, query: list[float], k: int, tables: in
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vectors.select(array_to_vector("vec").alias("features")))
     found = model.approxNearestNeighbors(vectors.withColumn("features", array_to_vector("vec")), Vectors.dense(query), 4 * k)
     return found.select("id", dot(F.col("vec"), F.array(*map(F.lit, map(float, query)))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def approximate_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:
+    """``query, id, score, rank``: the k best of a query's candidates, those that share one of its random-projection
+    buckets; for unit vectors.  Candidates meet in an equality join on (table, bucket)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
+    model = lsh.fit(vectors.limit(1).select(array_to_vector("vec").alias("features")))
+
+    def hashed(df: DataFrame, *keep: str) -> DataFrame:
+        h = model.transform(df.select(*keep, array_to_vector("vec").alias("features"))).select(*keep, F.posexplode("hashes").alias("table", "h"))
+        return h.select(*keep, "table", vector_to_array("h")[0].alias("bucket"))
+
+    near = hashed(vectors, "id").join(hashed(queries, "query"), ["table", "bucket"]).select("query", "id").distinct()
+    both = near.join(vectors.select("id", "vec"), "id").join(queries.select("query", F.col("vec").alias("q")), "query")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return both.select("query", "id", dot(F.col("vec"), F.col("q")).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -58,11 +58,14 @@ def _texts(df: DataFrame, node: Column, text: Column, seq: Column) -> DataFrame:
     return df.select(node.alias("id"), text.alias("text"), seq)
 
 
-def stamp_commits(sessions: DataFrame, turns: DataFrame, commits: DataFrame, root: str) -> DataFrame:
-    """Sessions without a commit that ran in the work tree of ``root`` get the commit of their time."""
+def stamp_commits(sessions: DataFrame, turns: DataFrame, commits: DataFrame, root: str, nested: list[str] | None = None) -> DataFrame:
+    """Sessions without a commit that ran in the work tree of ``root`` get the commit of their time.
+
+    ``nested`` are the repositories within it, looked up if not given.
+    """
     from tracegraph.sources.repository import in_tree, nested_repositories
 
-    mine = in_tree(F.col("repo_root"), root, nested_repositories(root))
+    mine = in_tree(F.col("repo_root"), root, nested_repositories(root) if nested is None else nested)
     first_turn = turns.groupBy("path").agg(F.min(F.when(F.col("ts_ms").isNotNull(), F.struct("pos", "ts_ms")))["ts_ms"].alias("turn_ts"))
     s = sessions.join(first_turn, "path", "left").withColumn("at", F.coalesce("started_at_ms", "turn_ts"))
     found = as_of(s, commits, "at", "time_ms", "oid", out="stamp")

@@ -706,11 +706,6 @@ def recall_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.memory_search(g, QUESTION, 8, NOW).select("id", F.round("score", 6).alias("score"), "kind", "why")
 
 
-@query()
-def recall_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recall_decisions(conversation_graph(spark, sf_dir, decide=True), QUESTION, NOW)
-
-
 @query(BEST_SQL.replace("{pool}", "256") + """,
     hit AS (SELECT best.k FROM best JOIN w USING (k) ORDER BY best.s DESC, w.id LIMIT 1),
     around AS (SELECT k FROM hit UNION SELECT b FROM e WHERE a IN (SELECT k FROM hit) UNION SELECT a FROM e WHERE b IN (SELECT k FROM hit))

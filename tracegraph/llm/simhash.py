@@ -31,8 +31,9 @@ from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tracegraph.llm._common import id_and_text, map_slices, materialize
+from tracegraph.llm._common import forget, id_and_text, map_slices, materialize
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -174,27 +175,33 @@ def components(edges: DataFrame) -> DataFrame:
         hook = seen.groupBy(F.col("root").alias("old")).agg(F.min("low").alias("new"))
         hooked = materialize(seen.join(hook, F.col("root") == F.col("old")).select("node", F.least("low", "new").alias("root"), F.col("root").alias("was")), "roots-hooked")
         jump = hooked.select(F.col("node").alias("via"), F.col("root").alias("to"))
+        after = hooked
         for _ in range(2):
-            hooked = hooked.join(jump, F.col("root") == F.col("via")).select("node", F.col("to").alias("root"), "was")
-        label = materialize(hooked, "roots")
-        if label.where("root <> was").isEmpty():
-            return label.select("node", "root")
-        label = label.select("node", "root")
+            after = after.join(jump, F.col("root") == F.col("via")).select("node", F.col("to").alias("root"), "was")
+        forget(label)
+        after = materialize(after, "roots")
+        forget(seen, hooked)
+        label = after.select("node", "root")
+        label._shared_path = after._shared_path
+        if after.where("root <> was").isEmpty():
+            forget(both)
+            return label
 
 
 def near_duplicates(df: DataFrame, distance: int = 3, shingle: int = 3, **cols: str) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id reachable over links of up to ``distance`` bits."""
+    """``doc_id, fp, component_id, root``: the smallest doc_id reachable over links of up to ``distance`` bits, and the
+    fingerprint that stands for the component (ids that have several texts may be the smallest of several)."""
     fps = materialize(fingerprints(df, shingle, **cols), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     n = distinct.count()
     edges = materialize(links(distinct.select("fp"), n, distance), "edges")
     linked = components(edges)
     tree = linked.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first_id").alias("low"))
-    of = linked.join(tree, "root").select(F.col("node").alias("fp"), "low")
-    table = distinct.join(of, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("low", "first_id").alias("component_id"))
+    of = linked.join(tree, "root").select(F.col("node").alias("fp"), "low", "root")
+    table = distinct.join(of, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("low", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     table = materialize(table, "components")
     # Written first, so that both sides are dealt anew and adaptive execution can split a hot fingerprint.
-    return fps.join(table, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
+    return fps.join(table, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id", "root")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -202,11 +209,27 @@ def digests(df: DataFrame) -> DataFrame:
     return near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is their component's, one row for each id; rows with a null id stay."""
-    found = materialize(near_duplicates(df, id_col=id_col, **options), "near-duplicates").where(F.col("doc_id").isNotNull())
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    out = df.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``df``, of the smallest id, for each component; rows with a null id stay.
+
+    Rows are told apart by id and fingerprint: an id that has several texts may keep some of them.
+    """
+    found = materialize(near_duplicates(df, id_col=id_col, text_col=text_col, **options), "near-duplicates").where(F.col("doc_id").isNotNull())
+    # Of a component's rows with the smallest id, the fingerprint that comes first.
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("__id"), F.col("x.fp").alias("__fp"))
+    shingle = options.get("shingle", 3)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                fps = np.array([fingerprint(t or "", shingle) for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
+                yield part.append_column("__of", pa.array(fps))
+
+    marked = df.mapInArrow(run, StructType([*df.schema.fields, StructField("__of", LongType())]))
+    out = marked.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__of") == F.col("__fp")), "left_semi").dropDuplicates([id_col, "__of"]).drop("__of")
+    return out.unionByName(df.where(F.col(id_col).isNull()))

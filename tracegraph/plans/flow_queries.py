@@ -248,7 +248,7 @@ DECIDED_SQL = DECIDED_SQL.replace("""
 DECIDED_SQL = DECIDED_SQL.replace("""
     e AS (""", """
     e AS (
-        SELECT 'd' || conv_id AS a, 's' || conv_id AS b FROM dec UNION SELECT 'd' || conv_id, 'f' || turn % 7 FROM chat WHERE role = 'assistant' AND turn % 3 = 1 UNION SELECT 'd' || new, 'd' || old FROM sup UNION""", 1)
+        SELECT 'd' || conv_id AS a, 's' || conv_id AS b FROM dec UNION SELECT 'd' || conv_id, 'f' || turn % 7 FROM chat WHERE role = 'assistant' AND turn % 3 = 1 UNION SELECT 'd' || new, 'd' || old FROM sup UNION """, 1)
 DECIDED_SQL = DECIDED_SQL.replace("CASE kind WHEN 'turn' THEN", "CASE kind WHEN 'decision' THEN 1.0 WHEN 'turn' THEN").replace("""
     w AS (SELECT *,""", """
     deg AS (SELECT k, count(*) AS n FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,13 +48,6 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver find out which shuffles nothing refers to any more, so that executors delete their files;
-    for loops that make many."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *extra: str) -> DataFrame:
     """Only the needed columns, a null text as the empty string."""
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), *[F.col(c) for c in extra])

@@ -12,7 +12,7 @@ from tracegraph.functions.manifests import dependencies
 from tracegraph.functions.redact import contains_secret, redact
 from tracegraph.functions.symbols import symbols
 from tracegraph.operators import graph as G, merge as M, recall as R, temporal as T, vectors as V
-from tracegraph.operators.lineage import checkpointed, shared_folder
+from tracegraph.operators.lineage import checkpointed, shared_folder, spread
 from tracegraph.plans.api import bulk
 from tracegraph.plans.ingest import repository_mutations, session_mutations
 from tracegraph.plans.store import Store
@@ -68,7 +68,7 @@ def snippet_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT token, CAST(count(*) AS BIGINT) AS n FROM (
         SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) > 1)) AS token FROM documents) GROUP BY token""")
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token"))
+    t = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(X.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -80,20 +80,20 @@ def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _secret_text():
     sha = F.sha2(F.col("o_orderkey").cast("string"), 256)
-    return F.concat(F.lit("line one s"), F.lit("k-"), sha, F.lit("\nAPI_"), F.lit("KEY = "), F.substring(sha, 1, 12), F.lit(" end"))
+    return F.concat(F.lit("line one sk-"), sha, F.lit("\nAPI_KEY = "), F.substring(sha, 1, 12), F.lit(" end"))
 
 
 @query("""
     WITH s AS (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)
-    SELECT o_orderkey, 'line one <redacted:openai_key:' || substr(sha256('s' || 'k-' || h), 1, 8) || '>' || chr(10)
-        || '<redacted:env_assignment:' || substr(sha256('API_' || 'KEY = ' || substr(h, 1, 12)), 1, 8) || '> end' AS redacted FROM s""")
+    SELECT o_orderkey, 'line one <redacted:openai_key:' || substr(sha256('sk-' || h), 1, 8) || '>' || chr(10)
+        || '<redacted:env_assignment:' || substr(sha256('API_KEY = ' || substr(h, 1, 12)), 1, 8) || '> end' AS redacted FROM s""")
 def redact_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", redact(_secret_text()).alias("redacted"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", redact(_secret_text()).alias("redacted"))
 
 
-@query("SELECT o_orderkey, regexp_matches('id ' || CASE WHEN o_orderkey % 3 = 0 THEN 'AK' || 'IA' ELSE 'AX' END || upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16)), 'AKIA[0-9A-Z]{16}') AS secret FROM orders")
+@query("SELECT o_orderkey, regexp_matches('id ' || CASE WHEN o_orderkey % 3 = 0 THEN 'AKIA' ELSE 'AX' END || upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16)), 'AKIA[0-9A-Z]{16}') AS secret FROM orders")
 def secret_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("AK"), F.lit("IA"))).otherwise("AX")
+    head = F.when(F.col("o_orderkey") % 3 == 0, F.lit("AKIA")).otherwise("AX")
     text = F.concat(F.lit("id "), head, F.upper(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 16)))
     return table(spark, sf_dir, "orders").select("o_orderkey", contains_secret(text).alias("secret"))
 
@@ -399,7 +399,7 @@ BM25_SQL = """
 @query("WITH " + BM25_SQL + """
     SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM f JOIN d USING (term), n GROUP BY id HAVING sum(tf) > 0""")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return R.bm25(docs, ["the", "idiot", "tion", "unknownword", "the"]).select("id", F.round("score", 6).alias("score"))
 
 
@@ -606,46 +606,22 @@ def conversation_graph(spark: SparkSession, sf_dir: str, decide: bool = False) -
 CHAT_SQL = "chat AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND NOT starts_with(trim(text), 'Caveat:'))"
 
 
-@query("WITH " + CHAT_SQL + """
-    SELECT 'session' AS kind, CAST(count(DISTINCT conv_id) AS BIGINT) AS n FROM conversations UNION ALL SELECT 'turn', count(*) FROM chat
-    UNION ALL SELECT 'repo', 1 UNION ALL SELECT 'file', count(DISTINCT turn % 7) FROM chat WHERE turn % 3 = 1""")
-def ingest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.merge_nodes(conversation_mutations(spark, sf_dir).nodes).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("WITH " + CHAT_SQL + """
-    SELECT 'derived_from' AS kind, CAST(count(DISTINCT conv_id) AS BIGINT) AS n FROM conversations UNION ALL SELECT 'contains', count(*) FROM chat UNION ALL SELECT 'touches', count(*) FROM chat WHERE turn % 3 = 1""")
-def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = conversation_mutations(spark, sf_dir)
-    return M.with_endpoints(M.merge_edges(m.edges), M.merge_nodes(m.nodes)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 QUESTION = "the and with work demo"
-@query("WITH " + CHAT_SQL + """
-    SELECT 'nodes' AS part, CAST(1 + (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM chat) + (SELECT count(DISTINCT turn % 7) FROM chat WHERE turn % 3 = 1) AS BIGINT) AS n
-    UNION ALL SELECT 'edges', (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM chat) + (SELECT count(*) FROM chat WHERE turn % 3 = 1)
-    UNION ALL SELECT 'vectors', (SELECT count(DISTINCT conv_id) FROM chat WHERE role = 'user') + (SELECT count(*) FROM chat)""")
-def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch, a snapshot, and the same batch again on top of it: recovered, everything is there once."""
-    m = conversation_mutations(spark, sf_dir)
-    store = Store(spark, shared_folder(spark, "store"))
-    store.append(m, store.next_batch())
-    store.checkpoint()
-    store.append(m, store.next_batch())
-    g = Store(spark, store.path).graph()
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in (("nodes", g.nodes), ("edges", g.edges), ("vectors", g.vectors))]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
 @query("""
-    WITH f AS (SELECT 's' || s_suppkey || '/m.py' AS rel FROM supplier UNION ALL SELECT 's' || s_suppkey || '/pyproject.toml' FROM supplier WHERE s_suppkey % 5 = 0),
-    h AS (SELECT DISTINCT c_custkey, rel FROM (SELECT c_custkey, unnest(['s' || c_nationkey || '/m.py', 's' || c_nationkey || '/pyproject.toml', 'gone.py']) AS rel FROM customer) JOIN f USING (rel)),
-    k AS (SELECT rel FROM f WHERE rel LIKE '%.py' UNION SELECT rel FROM h)
-    SELECT 'node' AS part, 'repo' AS kind, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'node', 'framework', 1 + count(*) FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'node', 'file', count(*) FROM k
-    UNION ALL SELECT 'node', 'symbol', count(*) FROM supplier UNION ALL SELECT 'node', 'commit', count(*) FROM customer
-    UNION ALL SELECT 'edge', 'depends_on', 1 + count(*) FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'edge', 'contains', (SELECT count(*) FROM supplier) + count(*) FROM customer
-    UNION ALL SELECT 'edge', 'defines', count(*) FROM supplier UNION ALL SELECT 'edge', 'changed_by', count(*) FROM h
-    UNION ALL SELECT 'vector', 'all', 2 * count(*) FROM supplier""")
+    WITH f AS (SELECT s_suppkey, 's' || s_suppkey || '/m.py' AS rel FROM supplier UNION ALL SELECT s_suppkey, 's' || s_suppkey || '/pyproject.toml' FROM supplier WHERE s_suppkey % 5 = 0),
+    h AS (SELECT DISTINCT sha1(CAST(c_custkey AS VARCHAR)) AS oid, rel FROM (SELECT c_custkey, unnest(['s' || c_nationkey || '/m.py', 's' || c_nationkey || '/pyproject.toml', 'gone.py']) AS rel FROM customer) JOIN f USING (rel)),
+    raw AS (
+        SELECT 'repo' AS kind, '/work/demo' AS k, 'demo' AS label UNION ALL SELECT 'framework', unnest(['numpy', 'pkg-' || s_suppkey]), unnest(['numpy', 'pkg-' || s_suppkey]) FROM supplier WHERE s_suppkey % 5 = 0
+        UNION ALL SELECT 'file', '/work/demo' || chr(1) || rel, list_last(string_split(rel, '/')) FROM f WHERE rel LIKE '%.py' UNION ALL SELECT 'file', '/work/demo' || chr(1) || rel, list_last(string_split(rel, '/')) FROM h
+        UNION ALL SELECT 'symbol', '/work/demo' || chr(1) || 's' || s_suppkey || '/m.py' || chr(1) || 'def' || chr(1) || 'run_' || s_suppkey, 'run_' || s_suppkey FROM supplier
+        UNION ALL SELECT 'commit', sha1(CAST(c_custkey AS VARCHAR)), substr(sha1(CAST(c_custkey AS VARCHAR)), 1, 8) FROM customer),
+    n AS (SELECT DISTINCT kind, k, label, substr(sha256(kind || chr(0) || k), 1, 32) AS id FROM raw),
+    raw_e AS (
+        SELECT 'depends_on' AS kind, '/work/demo' AS a, k AS b FROM n WHERE kind = 'framework' UNION ALL SELECT 'contains', '/work/demo', '/work/demo' || chr(1) || rel FROM f WHERE rel LIKE '%.py' UNION ALL SELECT 'contains', '/work/demo', k FROM n WHERE kind = 'commit'
+        UNION ALL SELECT 'defines', '/work/demo' || chr(1) || 's' || s_suppkey || '/m.py', '/work/demo' || chr(1) || 's' || s_suppkey || '/m.py' || chr(1) || 'def' || chr(1) || 'run_' || s_suppkey FROM supplier
+        UNION ALL SELECT 'changed_by', '/work/demo' || chr(1) || rel, oid FROM h)
+    SELECT 'node' AS part, id AS a, kind AS b, label AS c FROM n UNION ALL SELECT 'edge', x.id, y.id, raw_e.kind FROM raw_e JOIN n x ON x.k = raw_e.a JOIN n y ON y.k = raw_e.b
+    UNION ALL SELECT 'vector', id, '', '' FROM n WHERE kind = 'symbol' OR (kind = 'file' AND label = 'm.py')""")
 def repository_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of a source file per supplier, some manifests, and a commit per customer."""
     key = F.col("s_suppkey").cast("int")
@@ -660,9 +636,9 @@ def repository_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = repository_mutations(code.withColumn("n_bytes", F.octet_length("content").cast("bigint")), "/work/demo", NOW, history)
     nodes = M.merge_nodes(m.nodes)
     edges = M.with_endpoints(M.merge_edges(m.edges), nodes)
-    parts = [("node", nodes), ("edge", edges), ("vector", M.merge_vectors(m.vectors).withColumn("kind", F.lit("all")))]
-    counts = [df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "kind", "n") for name, df in parts]
-    return counts[0].union(counts[1]).union(counts[2])
+    part = lambda name: F.lit(name).alias("part")
+    rows = nodes.select(part("node"), F.col("id").alias("a"), F.col("kind").alias("b"), F.col("label").alias("c")).union(edges.select(part("edge"), "from", "to", "kind"))
+    return rows.union(M.merge_vectors(m.vectors).select(part("vector"), "id", F.lit(""), F.lit("")))
 
 
 NODES_SQL = "WITH " + CHAT_SQL + """,
@@ -674,6 +650,39 @@ NODES_SQL = "WITH " + CHAT_SQL + """,
         UNION ALL SELECT DISTINCT 'f' || turn % 7, 'file', 'f' || turn % 7, NULL, 1710000000000, substr(sha256('file' || chr(0) || '/work/demo' || chr(1) || 'src/f' || turn % 7), 1, 32) FROM chat WHERE turn % 3 = 1),
     e AS (SELECT 's' || conv_id AS a, 'r' AS b FROM (SELECT DISTINCT conv_id FROM conversations) UNION SELECT 's' || conv_id, 't' || conv_id || '-' || turn FROM chat UNION SELECT 't' || conv_id || '-' || turn, 'f' || turn % 7 FROM chat WHERE turn % 3 = 1),
     w AS (SELECT *, power(0.5, greatest(1710000000000 - ts, 0) / 86400000.0 / 30) AS rec, CASE kind WHEN 'turn' THEN 0.85 WHEN 'session' THEN 0.65 WHEN 'repo' THEN 0.5 ELSE 0.4 END AS wt FROM n)"""
+EDGE_ROWS_SQL = """
+    SELECT a.id AS "from", b.id AS "to", CASE WHEN e.b = 'r' THEN 'derived_from' WHEN e.b LIKE 't%' THEN 'contains' ELSE 'touches' END AS kind FROM e JOIN n a ON a.k = e.a JOIN n b ON b.k = e.b"""
+
+
+@query(NODES_SQL + """
+    SELECT id, kind, label, CASE WHEN kind = 'turn' THEN emb WHEN kind = 'session' THEN emb ELSE '' END AS body, ts AS first_seen_ms, ts AS last_updated_ms,
+        CASE WHEN kind = 'session' THEN substr(k, 2) WHEN kind = 'turn' THEN split_part(substr(k, 2), '-', 1) END AS session, CASE WHEN kind = 'file' THEN 'src/' || k WHEN kind = 'repo' THEN '/work/demo' END AS path FROM n""")
+def ingest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = M.merge_nodes(conversation_mutations(spark, sf_dir).nodes)
+    return n.select("id", "kind", "label", "body", "first_seen_ms", "last_updated_ms", F.col("provenance.native_session_id").alias("session"), F.try_element_at("attrs", F.lit("path")).alias("path"))
+
+
+@query(NODES_SQL + EDGE_ROWS_SQL)
+def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = conversation_mutations(spark, sf_dir)
+    return M.with_endpoints(M.merge_edges(m.edges), M.merge_nodes(m.nodes)).select("from", "to", "kind")
+
+
+@query(NODES_SQL + """
+    SELECT 'node' AS part, id AS a, kind AS b, label AS c FROM n UNION ALL SELECT 'edge', x."from", x."to", x.kind FROM (""" + EDGE_ROWS_SQL + """) x UNION ALL SELECT 'vector', id, '', '' FROM n WHERE trim(emb) <> ''""")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, a snapshot, and the same batch again on top of it: recovered, everything is there once."""
+    m = conversation_mutations(spark, sf_dir)
+    store = Store(spark, shared_folder(spark, "store"))
+    store.append(m, store.next_batch())
+    store.checkpoint()
+    store.append(m, store.next_batch())
+    g, part = Store(spark, store.path).graph(), lambda name: F.lit(name).alias("part")
+    nodes = g.nodes.select(part("node"), F.col("id").alias("a"), F.col("kind").alias("b"), F.col("label").alias("c"))
+    edges = g.edges.select(part("edge"), "from", "to", "kind")
+    return nodes.union(edges).union(g.vectors.select(part("vector"), "id", F.lit(""), F.lit("")))
+
+
 BEST_SQL = NODES_SQL + """,
     tok AS (SELECT k, unnest(list_filter(regexp_split_to_array(lower(emb), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) > 1)) AS t FROM n WHERE trim(emb) <> '' UNION ALL SELECT 'q', unnest(['the', 'and', 'with', 'work', 'demo'])),
     bag AS (SELECT k, CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(sum(CASE WHEN CAST('0x' || substr(sha256(t), 9, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM tok GROUP BY 1, 2),

@@ -46,6 +46,8 @@ RECORDS, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapa
 PACKAGE_BYTES = 8 << 20
 #: Records, and bytes of an index, that are read together.
 RECORDS_READ, INDEX_READ = 4_096, 1 << 20
+#: Bytes of packages that a task reads, about.
+READ_BYTES = 64 << 20
 
 # Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -307,8 +309,11 @@ def read_packages(packs: DataFrame, keep_payload: bool = True) -> DataFrame:
                         rows = [fields(parse_record(f.read_at(n, at))) for at, n in zip(r["at"][i : i + SLICE], r["n"][i : i + SLICE])]
                         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], arrow.field(k).type) for k in range(len(names))], schema=arrow)
 
-    # Dealt anew, so that the records of a large package are read by several tasks.
-    return ranges(packs).repartition("path", F.col("at")[0]).mapInArrow(run, out_schema)
+    # Dealt anew by number, as rows this small would else be read by one task, whatever they point at.
+    spark = packs.sparkSession
+    total = packs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(spark.sparkContext.defaultParallelism, total // READ_BYTES)
+    return ranges(packs).repartition(n, "path", F.col("at")[0]).mapInArrow(run, out_schema)
 
 
 def digests(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

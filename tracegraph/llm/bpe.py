@@ -26,6 +26,9 @@ from tracegraph.llm.pretoken import ChunkCache, Splitter, Vocabulary
 
 DEFAULT = "byte_bpe_50k.json"
 
+#: Remembered steps and decisions, of some 100 bytes each, at which either is forgotten.
+ENTRIES = 1_000_000
+
 
 class TrieEncoder:
     """Encodings of words by a depth-first walk of their trie."""
@@ -87,7 +90,7 @@ class TrieEncoder:
         key = s << 20 | t
         ok = self.compatible.get(key)
         if ok is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > ENTRIES:
                 self.compatible.clear()
             raw = self.v.bytes_of[s] + self.v.bytes_of[t]
             ok = self.compatible[key] = self.merge([self.v.byte_ids[b] for b in raw]) == [s, t]
@@ -113,7 +116,7 @@ class TrieEncoder:
         longest = max(map(len, words), default=0)
         last, width = [-1] * (longest + 1), [0] * (longest + 1)
         goto, ends, compatible = self.goto, self.ends, self.compatible
-        if len(goto) > self.fixed + 2_000_000:
+        if len(goto) > self.fixed + ENTRIES:
             for key in [k for i, k in enumerate(goto) if i >= self.fixed]:
                 del goto[key]
         todo = [(node, 1, 0, b) for b, node in trie.items() if b != 256]

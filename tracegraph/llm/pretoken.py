@@ -85,31 +85,39 @@ class Splitter:
         return out + [text[at:]] * (at < len(text))
 
 
+def weight(keys) -> int:
+    """About how many bytes a cache takes for these keys and their values."""
+    return 160 * len(keys) + 4 * sum(map(len, keys))
+
+
 class ChunkCache:
     """Values of chunks, computed in batches from values of their pieces.
 
     ``encode`` maps a list of unseen pieces to their values; ``join`` combines
-    the values of consecutive pieces.  Both caches are emptied when full, so
-    memory stays bounded whatever the corpus.
+    the values of consecutive pieces.  Both caches are emptied at about
+    ``limit`` bytes, so memory stays bounded whatever the corpus.
     """
 
-    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list], join: Callable[[list], object], limit: int = 400_000):
+    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list], join: Callable[[list], object], limit: int = 64 << 20):
         self.splitter, self.encode, self.join, self.limit = splitter, encode, join, limit
         self.chunks: dict[str, object] = {}
         self.known: dict[str, object] = {}
+        self.chunk_bytes = self.known_bytes = 0
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
+        if self.known_bytes + weight(new) > self.limit:
             self.known.clear()
-            new = list(pieces)
+            self.known_bytes, new = 0, list(pieces)
+        self.known_bytes += weight(new)
         self.known.update(zip(new, self.encode(new), strict=True))
 
     def values(self, segments: list[str]) -> list:
         """The joined value of each non-empty segment."""
         cut = [s.split(" ") for s in segments]
-        if len(self.chunks) > self.limit:
+        if self.chunk_bytes > self.limit:
             self.chunks.clear()
+            self.chunk_bytes = 0
         new = set().union(*(c[1:] for c in cut)).difference(self.chunks)
         split: dict[str, list[str]] = {}
         bad: set[str] = set()
@@ -129,6 +137,7 @@ class ChunkCache:
         known, join = self.known, self.join
         for c, p in split.items():
             self.chunks[c] = known[p[0]] if len(p) == 1 else join([known[x] for x in p])
+        self.chunk_bytes += weight(split)
         get, out = self.chunks.__getitem__, []
         for i, c in enumerate(cut):
             if i in whole:

@@ -1,22 +1,24 @@
 """Toxicity by weak supervision.
 
-1. Stems (words and word beginnings) are counted over a bounded sample of
-   labelled training rows.  Those that single out toxic rows join a seed lexicon
-   as voters; patterns of punctuation and capitals vote too.
+1. Stems (words and word beginnings) are counted over all labelled training
+   texts, copies once: the words of a text with many copies are no evidence
+   each time.  Those that single out toxic rows join a seed lexicon as voters;
+   patterns of punctuation and capitals vote too.
 2. A generative label model is estimated from how often voters fire alone and
    together in all training documents, without their labels: triplets of
    voters give each one's accuracy, and what a pair shares beyond that gives the
-   correlations, by which dependent voters count less.
-3. A linear classifier over stems is trained on the posterior labels of the
-   sample and scores every whole text.
+   correlations, by which the votes cast for one text count less.
+3. A linear classifier over stems is trained on the posterior labels of a
+   bounded sample of the labelled rows and scores every whole text.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not 0; label, lang,
 source and doc_id never enter a score.
 
 Cases: a null or empty text scores what no evidence gives; a doc_id with several
 labels counts as its highest one; without labels, or with one class only, the
-seed lexicon votes; rows with a null doc_id are scored, not learned from; other
-columns are ignored.
+seed lexicon votes; rows with a null doc_id are scored, not learned from, and
+not held out; repeated rows are learned from and scored each; an empty table
+has no rows; a very long text is one text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracegraph.llm._common import id_and_text, map_slices
+from tracegraph.llm._common import id_and_text, map_slices, materialize
 
 # A fixed word list: insults that vote from the start.
 SEED_LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "jerk", "fool", "imbecile", "cretin", "vermin")
@@ -36,11 +38,15 @@ PATTERNS = {"!!!": re.compile(r"!!!").search, "???": re.compile(r"\?\?\?").searc
 WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (4, 5, 6)
 
-#: Labelled rows, at most about, from which stems are mined and the classifier is fitted.
+#: Labelled rows, about, on which the classifier is fitted; fewer, if there are fewer.
 SAMPLE = 8_000
 FEATURES = 1_000
-#: Standard errors by which a voter's precision is above one half.
-ERRORS = 2.0
+#: Stems that a task counts before it sends their counts.
+STEMS = 200_000
+#: A voter's least precision, and the standard errors by which it is above one half.
+PRECISE, ERRORS = 0.9, 2.0
+#: Correlations below this are taken for none.
+DEPENDENT = 0.1
 PRIOR = 0.1
 
 
@@ -80,7 +86,7 @@ def votes_of(text: str, match: Matcher) -> set[int]:
 
 @dataclass
 class LabelModel:
-    """Firing rates of each voter given either class, and its weight after correlations."""
+    """Firing rates of each voter given either class, its weight if all voters fired, and correlations."""
 
     prior: float
     toxic: np.ndarray
@@ -91,8 +97,10 @@ class LabelModel:
     def posterior(self, votes: set[int]) -> float:
         """Probability of the toxic class; a voter that doesn't fire abstains."""
         odds = np.log(self.prior / (1 - self.prior))
-        for i in votes:
-            odds += self.weight[i] * np.log(self.toxic[i] / self.clean[i])
+        if votes:
+            v = np.array(sorted(votes))
+            # Votes that depend on others cast here share their weight.
+            odds += (np.log(self.toxic[v] / self.clean[v]) / (1 + self.correlation[np.ix_(v, v)].sum(axis=1))).sum()
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
@@ -126,8 +134,8 @@ def fit_label_model(n: float, alone: np.ndarray, together: np.ndarray, prior: fl
     scale = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
     corr = np.clip((cov - spread * np.outer(a, a)) / np.outer(scale, scale), -1, 1)
     np.fill_diagonal(corr, 0)
-    dependent = np.where(np.abs(corr) > 0.1, np.abs(corr), 0)
-    return LabelModel(prior, toxic, clean, 1 / (1 + dependent.sum(axis=1)), corr)
+    dependent = np.where(np.abs(corr) > DEPENDENT, np.abs(corr), 0)
+    return LabelModel(prior, toxic, clean, 1 / (1 + dependent.sum(axis=1)), dependent.astype(np.float32))
 
 
 def fit_linear(rows: list[set[int]], soft: np.ndarray, n_features: int, ridge: float = 0.3, rounds: int = 150) -> np.ndarray:
@@ -161,17 +169,27 @@ class Model:
     weights: np.ndarray
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """``text, toxic`` of about ``bound`` labelled training rows, chosen by hash.
-
-    Only ids and labels of that many rows are broadcast; no text moves.
-    """
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``__id, toxic`` of the labelled training rows."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def of_distinct_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` with one id for each text, the smallest, and its highest label; only ids and hashes move."""
+    texts = docs.where(training(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("h")).join(known, F.col("doc_id") == F.col("__id"))
+    return texts.groupBy("h").agg(F.min("doc_id").alias("__id"), F.max("toxic").alias("toxic")).groupBy("__id").agg(F.max("toxic").alias("toxic"))
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``text, toxic`` of the rows that ``known`` labels."""
+    return docs.where(training(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+
+
+def sampled(known: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` of the labels, chosen by hash: as many at any size, so that they may be broadcast."""
     share = min(1.0, bound / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = chosen.limit(2 * bound).withColumnRenamed("doc_id", "__id")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    return F.broadcast(known.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 20)) < int(share * (1 << 20))))
 
 
 def folded(counts: dict[str, int]) -> list[str]:
@@ -187,36 +205,47 @@ def folded(counts: dict[str, int]) -> list[str]:
     return [s for s, n in counts.items() if all(counts.get(b) != n for b in beginnings(s))]
 
 
-def mine_stems(sample: DataFrame) -> tuple[list[str], list[str], float]:
-    """Voter stems, feature stems, and the share of toxic rows."""
+def mine_stems(rows: DataFrame) -> tuple[list[str], list[str], float]:
+    """Voter stems, feature stems, and the share of toxic rows, of all of ``rows(text, toxic)``."""
 
-    def make():
-        def fn(cols: dict) -> dict:
-            count: Counter[str] = Counter()
-            toxic: Counter[str] = Counter()
-            for text, label in zip(cols["text"], cols["toxic"]):
-                stems = {s for w in set(WORDS(text.lower())) for s in stems_of(w)}
-                stems.add("")  # counts the rows
-                count.update(stems)
-                if label:
-                    toxic.update(stems)
-            return {"stem": list(count), "n": list(count.values()), "hits": [toxic[s] for s in count]}
+    def count(batches):
+        """Counts by stem, sent whenever a task has many of them."""
+        import pyarrow as pa
 
-        return fn
+        n: Counter[str] = Counter()
+        hits: Counter[str] = Counter()
+
+        def sent():
+            out = pa.table({"stem": pa.array(n, pa.string()), "n": pa.array(n.values(), pa.int64()), "hits": pa.array([hits[s] for s in n], pa.int64())})
+            n.clear()
+            hits.clear()
+            return out.to_batches()
 
-    each = map_slices(sample, make, "stem string, n long, hits long", rows=2048)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    stems = {s for w in set(WORDS(text.lower())) for s in stems_of(w)}
+                    stems.add("")  # counts the rows
+                    n.update(stems)
+                    if label:
+                        hits.update(stems)
+                if len(n) > STEMS:
+                    yield from sent()
+        yield from sent()
+
+    each = rows.mapInArrow(count, "stem string, n long, hits long")
     stems = each.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     total = stems.where("stem = ''").first()
     if total is None or not 0 < total["hits"] < total["n"]:
         return [], [], PRIOR
-    rows, toxic = total["n"], total["hits"]
-    p = toxic / rows
+    p = total["hits"] / total["n"]
     z = (F.col("hits") - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
     stems = stems.where("stem <> '' AND n >= 4").withColumn("z", z)
     # All that pass vote.  The lower end of Wilson's interval keeps out rare stems that are precise by chance.
     q, n, e = F.col("hits") / F.col("n"), F.col("n"), ERRORS**2
     least = (q + e / (2 * n) - ERRORS * F.sqrt(q * (1 - q) / n + e / (4 * n * n))) / (1 + e / n)
-    precise = stems.where((F.col("hits") > F.col("n") * max(0.5, 3 * p)) & (F.col("z") > 3) & (least > 0.5)).orderBy(F.desc("z"), "stem")
+    precise = stems.where((F.col("hits") >= F.col("n") * PRECISE) & (F.col("z") > 3) & (least > 0.5)).orderBy(F.desc("z"), "stem")
     telling = stems.orderBy(F.desc(F.abs("z")), "stem").limit(FEATURES)
     return folded({r["stem"]: r["n"] for r in precise.collect()}), [r["stem"] for r in telling.collect()], p
 
@@ -249,8 +278,8 @@ def vote_counts(docs: DataFrame, voters: list[str]) -> tuple[float, np.ndarray,
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     docs = id_and_text(documents)
-    rows = labelled_sample(docs, labels, sample)
-    mined, stems, prior = mine_stems(rows)
+    known = materialize(of_distinct_texts(docs, known_labels(labels)), "toxic-labels")
+    mined, stems, prior = mine_stems(labelled(docs, known))
     voters = list(dict.fromkeys([*mined, *SEED_LEXICON]))
     n, alone, together = vote_counts(docs.where(training(F.col("doc_id"))).select("text"), voters)
     model = fit_label_model(n, alone, together, prior)
@@ -264,6 +293,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return fn
 
+    rows = labelled(docs, sampled(known, sample))
     got = map_slices(rows, make, "soft double, features array<int>").collect() if mined else []
     # With no labelled rows the voters' own log odds are the classifier.
     odds = model.weight * np.log(model.toxic / model.clean)
@@ -294,7 +324,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the training rows, scores all, and marks the held-out ones."""
     s = score(documents, fit(documents, labels))
-    return s.select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return s.select("doc_id", F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -26,14 +26,16 @@ def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value:
     by = by or []
     keys = [F.col(k) for k in by]
     times = right.where(F.col(right_ts).isNotNull()).select(F.col(right_ts).cast("bigint").alias("t"))
-    facts = times.agg(F.max("t"), F.percentile_approx("t", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()
+    # Long lists go to Spark as one text, not literal by literal.
+    shares = ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS))
+    facts = times.agg(F.max("t"), F.expr(f"percentile_approx(t, array({shares}), 10000)")).first()
     high, edges = facts[0], sorted(set(facts[1] or []))
 
     def bucket(t):
         """How many edges lie at or before ``t``, by binary search."""
         if not edges:
             return F.lit(0)
-        at, steps = F.array(*map(F.lit, edges)), [1 << i for i in reversed(range(len(edges).bit_length()))]
+        at, steps = F.expr(f"array({', '.join(f'{e}L' for e in edges)})"), [1 << i for i in reversed(range(len(edges).bit_length()))]
         further = lambda p, s: F.when((p + s <= len(edges)) & (F.get(at, p + s - 1) <= t), p + s).otherwise(p)
         return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 

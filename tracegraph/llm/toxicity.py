@@ -235,7 +235,8 @@ def mine_stems(rows: DataFrame) -> tuple[list[str], list[str], float]:
         yield from sent()
 
     each = rows.mapInArrow(count, "stem string, n long, hits long")
-    stems = each.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    # Written once: the totals, the voters and the features are read from it.
+    stems = materialize(each.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")), "toxic-stems")
     total = stems.where("stem = ''").first()
     if total is None or not 0 < total["hits"] < total["n"]:
         return [], [], PRIOR

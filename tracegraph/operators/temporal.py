@@ -12,6 +12,16 @@ from tracegraph.functions.decisions import superseded_subject
 BUCKETS = 1024
 
 
+def _bucketed(times: DataFrame, edges: list[int]) -> DataFrame:
+    """``times`` with ``bk``, how many edges lie at or before ``t``; exact below 2**53."""
+    from pyspark.ml.feature import Bucketizer
+
+    if not edges:
+        return times.withColumn("bk", F.lit(0))
+    splits = [-float("inf"), *map(float, edges), float("inf")]
+    return Bucketizer(splits=splits, inputCol="t", outputCol="bk").transform(times).withColumn("bk", F.col("bk").cast("int"))
+
+
 def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, by: list[str] | None = None, out: str = "as_of") -> DataFrame:
     """``left`` with the newest ``value`` of ``right`` at or before its time, else the oldest of all; of equal times the largest value.
 
@@ -31,20 +41,12 @@ def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value:
     facts = times.agg(F.max("t"), F.expr(f"percentile_approx(t, array({shares}), 10000)")).first()
     high, edges = facts[0], sorted(set(facts[1] or []))
 
-    def bucket(t):
-        """How many edges lie at or before ``t``, by binary search."""
-        if not edges:
-            return F.lit(0)
-        at, steps = F.expr(f"array({', '.join(f'{e}L' for e in edges)})"), [1 << i for i in reversed(range(len(edges).bit_length()))]
-        further = lambda p, s: F.when((p + s <= len(edges)) & (F.get(at, p + s - 1) <= t), p + s).otherwise(p)
-        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
-
     known = reduce(lambda a, c: a & c, [k.isNotNull() for k in keys], F.lit(True))
     kind = right.schema[value].dataType
     asked = left.select(*keys, F.coalesce(F.col(left_ts).cast("bigint"), F.lit(high)).alias("t")).where(known & F.col("t").isNotNull()).distinct()
     a = asked.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast(kind).alias("v"))
     b = right.where(F.col(right_ts).isNotNull() & known).select(*keys, F.col(right_ts).cast("bigint").alias("t"), F.lit(0).alias("side"), F.col(value).alias("v"))
-    both = a.unionByName(b).withColumn("bk", bucket(F.col("t")))
+    both = _bucketed(a.unionByName(b), edges)
     seen = F.when(F.col("side") == 0, F.struct("t", "v"))
     # By key and bucket: its last and first value, and what the buckets before it end with.
     each = both.groupBy(*by, "bk").agg(F.max(seen).alias("last"), F.min(seen).alias("first"))

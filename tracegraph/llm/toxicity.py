@@ -181,15 +181,16 @@ def of_distinct_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     return texts.groupBy("h").agg(F.min("doc_id").alias("__id"), F.max("toxic").alias("toxic")).groupBy("__id").agg(F.max("toxic").alias("toxic"))
 
 
-def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``text, toxic`` of the rows that ``known`` labels."""
-    return docs.where(training(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+def labelled(docs: DataFrame, known: DataFrame, move: str = "merge") -> DataFrame:
+    """``text, toxic`` of the rows that ``known`` labels; by default the texts are dealt by id, few as the labels may
+    be: one way at every size."""
+    return docs.where(training(F.col("doc_id"))).join(known.hint(move), F.col("doc_id") == F.col("__id")).select("text", "toxic")
 
 
 def sampled(known: DataFrame, bound: int) -> DataFrame:
     """About ``bound`` of the labels, chosen by hash: as many at any size, so that they may be broadcast."""
     share = min(1.0, bound / max(1, known.count()))
-    return F.broadcast(known.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    return known.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def folded(counts: dict[str, int]) -> list[str]:
@@ -294,7 +295,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return fn
 
-    rows = labelled(docs, sampled(known, sample))
+    rows = labelled(docs, sampled(known, sample), "broadcast")
     got = map_slices(rows, make, "soft double, features array<int>").collect() if mined else []
     # With no labelled rows the voters' own log odds are the classifier.
     odds = model.weight * np.log(model.toxic / model.clean)

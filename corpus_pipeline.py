@@ -24,7 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of texts with a 5-word-shingle Jaccard similarity of 0.8 stays."""
+    """One document, the one with the smallest id, of each component of texts with a 5-word-shingle Jaccard similarity of 0.8 stays.
+
+    SimHash links propose pairs, MinHash bands those beyond its radius; whole shingle sets decide."""
     return near_copies.keep_first(docs)
 
 

@@ -1,20 +1,27 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, and by MinHash what it can't reach, decided by exact Jaccard similarity.
 
 Two texts link when their sets of 5-word shingles have a Jaccard similarity of
 0.8 or more.
 
-1. Equal texts become one node, with ``BANDS`` hashes of ``ROWS`` MinHash values
-   each.  A pair at similarity s shares no band with probability
-   (1 - s^ROWS)^BANDS: 2.7e-5 at 0.8, less above.  Nothing else loses a link,
-   but a sketch of the same values that rules out far pairs of large bands.
-2. Nodes that share a band are compared on their whole sets.  First, each node
-   meets one other, the same for many.  Then, where a band is not one component
-   yet, the nodes outside its largest one meet all others: those of a small band
+1. Equal texts become one node with a SimHash fingerprint of its shingle set.
+   ``simhash.links`` proposes all pairs of fingerprints of up to ``DISTANCE``
+   differing bits: grouped bits, thresholds by dynamic programming, probes
+   verified inside the join.
+2. Pairs at 0.8 differ in 10 bits in the mean, too many to probe for.  So each
+   node also has ``BANDS`` hashes of ``ROWS`` MinHash values.  A pair at
+   similarity s shares no band with probability (1 - s^ROWS)^BANDS: 2.7e-5 at
+   0.8, less above.  A link is lost only if it also escapes SimHash, or to a
+   sketch of the same values that rules out far pairs of large bands.
+3. Proposed pairs are compared on their whole sets.  First, each node meets one
+   other of its fingerprint, of a linked one and of its bands, the same for
+   many.  Then, where linked fingerprints or a band are not one component yet,
+   all nodes of the fingerprints meet if still apart, and the nodes outside the
+   band's largest component meet all others: those of a small band
    in a join, those of a large one block by block.  So a group of near copies
    of one text costs comparisons in proportion to its size, no pair that could
    still join two components is left out, and of a large band no pairs are
-   rows, but what joins components.
-3. Components are those of ``simhash.components``.
+   rows, but what joins components.  Links of fingerprints are rows, as in op2.
+4. Components are those of ``simhash.components``.
 
 Cases: texts without words are copies of each other; a text with up to five
 words is one shingle; rows with a null id stay; rows are told apart by id and text.
@@ -29,10 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracegraph.llm import simhash
 from tracegraph.llm._common import forget, id_and_text, map_slices, materialize
-from tracegraph.llm.simhash import LOWER, SEED, WORDS, components
+from tracegraph.llm.simhash import LOWER, SEED, WORDS, components, majority
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
+#: Bits in which linked fingerprints may differ: by the plans for 15 million
+#: fingerprints, 5 needs 67 probes of each and 6 needs 298.
+DISTANCE = 5
 #: Bits of each MinHash value in a sketch, and how many of the values may differ in them: of 8,000 pairs at 0.80 to 0.82,
 #: 14 of the 80 did in the mean and 32 at most.
 BITS, APART = 4, 44
@@ -71,7 +82,7 @@ def banded():
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, key, bands, sketch, n``: a digest of the text, the hashes of its bands, bits of its MinHash values, and the number of its shingles."""
+    """``doc_id, key, fp, bands, sketch, n``: a digest of the text, its fingerprint, the hashes of its bands, bits of its MinHash values, and the number of its shingles."""
 
     def make():
         bands = banded()
@@ -80,12 +91,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = cols[text_col]
             sets = [shingles(t) for t in texts]
             made = [bands(h) for h in sets]
-            return {"doc_id": cols[id_col], "key": [md5(t.encode()).digest() for t in texts], "bands": [b.tolist() for b, _ in made], "sketch": [x.tolist() for _, x in made], "n": list(map(len, sets))}
+            fps = np.array([majority(h) for h in sets], np.uint64).view(np.int64).tolist()
+            return {"doc_id": cols[id_col], "key": [md5(t.encode()).digest() for t in texts], "fp": fps, "bands": [b.tolist() for b, _ in made], "sketch": [x.tolist() for _, x in made], "n": list(map(len, sets))}
 
         return fn
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs, make, f"doc_id {kind}, key binary, bands array<long>, sketch array<long>, n int")
+    return map_slices(docs, make, f"doc_id {kind}, key binary, fp long, bands array<long>, sketch array<long>, n int")
 
 
 def key_of(text_col: str):
@@ -150,20 +162,55 @@ def from_five(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
+def close_nodes(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SimHash's links ``a, b`` of fingerprints, and ``node, fp, head`` of the nodes whose fingerprint has a link or
+    several nodes; its smallest node is the head."""
+    heads = materialize(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("m")), "near-fingerprints")
+    linked = materialize(simhash.links(heads.select("fp"), heads.count(), DISTANCE), "near-links")
+    ends = linked.select(F.col("a").alias("fp")).union(linked.select("b")).union(heads.where("m > 1").select("fp")).distinct()
+    some = heads.join(ends, "fp", "left_semi").select(F.col("fp").alias("f"), "head")
+    close = materialize(distinct.select("node", "fp").join(some, F.col("fp") == F.col("f")).drop("f"), "near-close")
+    forget(heads)
+    return linked, close
+
+
+def first_meetings(linked: DataFrame, close: DataFrame) -> DataFrame:
+    """``a, b``: each node with the head of its fingerprint, each head with that of one linked fingerprint, the same for many."""
+    heads = close.where("node = head").select("fp", "head")
+    both = linked.union(linked.select("b", "a"))
+    first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit("lead"), "b").alias("h"), F.col("b").alias("fp")))["fp"].alias("b"))
+    x, y = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    across = first.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return close.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).union(across)
+
+
+def still_apart(linked: DataFrame, close: DataFrame, label: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of nodes of one or of linked fingerprints that are not in one component."""
+    label = label.withColumnRenamed("node", "v")
+    rooted = materialize(close.join(label, F.col("node") == F.col("v"), "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "near-rooted")
+    span = rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    x, y = (span.select(F.col("fp").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi")) for c in "ab")
+    open_ = linked.union(span.where("lo < hi").select("fp", "fp")).join(x, "a").join(y, "b").where("least(a_lo, b_lo) < greatest(a_hi, b_hi)").select("a", "b")
+    x, y = (rooted.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in "ab")
+    pairs = open_.join(x, "a").join(y, "b").where("a_root <> b_root")
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame | None:
     """``node, root`` of every node with a link; None without any."""
     bands = distinct.select("node", F.posexplode("bands").alias("band", "bucket"))
     several = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     shared = materialize(bands.join(several, "bucket"), "near-bands")
-    if shared.isEmpty():
+    linked, close = close_nodes(distinct)
+    if shared.isEmpty() and close.isEmpty():
         return None
-    some = distinct.join(shared.select("node").distinct(), "node", "left_semi")
+    some = distinct.join(shared.select("node").union(close.select("node")).distinct(), "node", "left_semi")
     sets = materialize(sets_of(docs, some.select("key", "node"), text_col), "near-sets")
     # At first each node meets one other only: of the first nodes of its bands the one that comes first.
     hashed = F.struct(F.xxhash64(F.lit("lead"), "node").alias("h"), F.col("node").alias("lead"))
     first = shared.groupBy("bucket").agg(F.min(hashed).alias("first"))
     pairs = shared.join(first, "bucket").where("node <> first.lead").groupBy("node").agg(F.min("first")["lead"].alias("lead"))
-    met = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    met = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).union(first_meetings(linked, close)).distinct()
     found = materialize(similar(met, sets), "near-edges")
     label = components(found)
     # Pairs of two components have a node outside the largest one of their band: those nodes meet all others.
@@ -175,7 +222,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame | No
     rest = few.where(~F.col("main")).select("bucket", "node", "root")
     lead = few.select("bucket", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
     pairs = rest.join(lead, "bucket").where("root <> lead_root")
-    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).union(still_apart(linked, close, label)).distinct()
     small = materialize(similar(pairs, sets), "near-edges")
     # Larger bands are dealt into blocks, and blocks meet; the row of a node goes to each block that it meets.
     five = F.expr("unhex(array_join(transform(sort_array(transform(h, x -> x & 1099511627775L)), x -> lpad(hex(x), 10, '0')), ''))")
@@ -189,7 +236,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame | No
     large = materialize(left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(block_links, "a long, b long"), "near-edges")
     edges = found.union(small).union(large)
     out = None if edges.isEmpty() else components(edges)
-    forget(found, small, large, now, label, shared, sets)
+    forget(found, small, large, now, label, shared, sets, linked, close)
     return out
 
 
@@ -197,7 +244,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of ``df``, with the smallest id, of each component; rows with a null id stay."""
     docs = id_and_text(df, id_col, text_col)
     sig = materialize(signatures(docs, id_col, text_col), "near-signatures")
-    distinct = sig.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    distinct = sig.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "near-distinct")
     label = links(docs, distinct, text_col)
     own = F.when(F.col("first_id").isNotNull(), F.struct("first_id", "key"))

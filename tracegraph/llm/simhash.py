@@ -53,7 +53,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     if not w:
         return 0
     parts = map(" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 8192):  # bounds the unpacked bits of a very long text
         total += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
